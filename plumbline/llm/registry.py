@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import bpe, decontaminate, line_dedup, near_dedup
 from .common import table
 
 
+def op3_decontamination(spark, sf_dir):
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_bpe(spark, sf_dir):
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark, sf_dir):
     return near_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
+    "op6_bpe": op6_bpe,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_line_dedup": op8_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontamination": decontaminate.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+}
