@@ -10,6 +10,7 @@ import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _made: list[tuple[SparkSession, str]] = []
@@ -105,3 +106,11 @@ def token_words(text: bytes | None) -> list[bytes]:
 def alnum_words(text: bytes | None) -> list[bytes]:
     """Words of ASCII letters, digits and any non-ASCII character, A-Z lowered."""
     return [] if not text else text.translate(ALNUM_WORDS).split()
+
+
+def hash_sample(df: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """About ``most`` rows at most, chosen by the hash of ``key``: the same rows on every run and cluster."""
+    n = df.count()
+    if n <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < int((1 << 30) * most / n))

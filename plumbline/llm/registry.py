@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, near_dedup
+from . import bpe, decontaminate, language_id, line_dedup, near_dedup, secrets, toxicity
 from .common import table
 
 
+def op1_secret_scan(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"))
 
@@ -22,11 +30,18 @@ def op8_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark, sf_dir):
+    return language_id.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_decontamination": op3_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op6_bpe": op6_bpe,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {
