@@ -1,10 +1,60 @@
-"""Corpus pipeline: language ID, line dedup, near-dedup, decontamination, tokenization."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, decontamination, tokenization.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the
+shared folder and reads it back as the next stage's documents.  All but the last return the columns
+of documents; the last returns a token digest a document.
+
+1. language_id: drops documents of undetermined language (no letter, null text) or very low score.
+2. line_dedup: drops lines that many documents share, but in the largest doc_id that holds them.
+3. near_dedup: of each group of SimHash neighbours the smallest doc_id stays.
+4. decontaminate: drops documents that hold a benchmark window.
+5. tokenize: encodes what is left, and decodes it again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from plumbline.llm import bpe, common, decontaminate, language_id, line_dedup, near_dedup
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return language_id.keep_known(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return line_dedup.drop_lines(docs)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return near_dedup.keep_one(docs)
+
+
+def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digest(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("decontaminate", remove_benchmarks),
+    ("tokenize", tokenize),
+]
+
+#: A trained network decides in the first stage; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
