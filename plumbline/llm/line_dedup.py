@@ -69,7 +69,8 @@ class LineRuns:
 
     def _write(self, rows: DataFrame, level: int) -> None:
         path = common.new_path(self.spark, f"run{level}")
-        rows.sortWithinPartitions(*_KEY).write.parquet(path)
+        files = max(8, 2 * self.spark.sparkContext.defaultParallelism)
+        rows.coalesce(files).sortWithinPartitions(*_KEY).write.parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
