@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,6 +137,32 @@ def _indexes(benchmark: DataFrame, window: int, block_bytes: int):
     return out
 
 
+def _scan_blocks(texts: list[bytes | None], indexes) -> tuple[list[int], list[np.ndarray], list[set[str]]]:
+    """``scan`` against every block, with one block in memory at a time."""
+    sizes, hits, found = None, None, None
+    for bc in indexes:
+        n, h, f = scan(texts, bc.value)
+        if sizes is None:
+            sizes, hits, found = n, h, f
+        else:
+            hits = [np.union1d(a, b) for a, b in zip(hits, h, strict=True)]
+            found = [a | b for a, b in zip(found, f, strict=True)]
+        if len(indexes) > 1:
+            bc.__dict__.pop("_value", None)
+    return sizes, hits, found
+
+
+def _groups(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or b"")
+        if held >= _BATCH_BYTES:
+            yield at, i + 1
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cleaned: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, [clean_text]) for every row of ``docs``.
 
@@ -145,16 +172,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     indexes = _indexes(benchmark, window, block_bytes)
 
     def rows_of(ids, texts):
-        sizes, hits, found = None, None, None
-        for bc in indexes:
-            n, h, f = scan(texts, bc.value)
-            if sizes is None:
-                sizes, hits, found = n, h, f
-            else:
-                hits = [np.union1d(a, b) for a, b in zip(hits, h, strict=True)]
-                found = [a | b for a, b in zip(found, f, strict=True)]
-            if len(indexes) > 1:
-                bc.__dict__.pop("_value", None)  # one block in memory at a time
+        sizes, hits, found = _scan_blocks(texts, indexes)
         items = [sorted(x) for x in found]
         cols = [ids, pa.array(sizes, pa.int64()), pa.array([len(x) for x in hits], pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string()))]
         names = ["doc_id", "n_words", "n_hit", "n_items", "items"]
@@ -165,14 +183,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, at, held = common.as_bytes(b.column(1)), 0, 0
-            for i, t in enumerate(texts):
-                held += len(t or b"")
-                if held >= _BATCH_BYTES:
-                    yield rows_of(b.column(0)[at : i + 1], texts[at : i + 1])
-                    at, held = i + 1, 0
-            if at < len(texts):
-                yield rows_of(b.column(0)[at:], texts[at:])
+            texts = common.as_bytes(b.column(1))
+            for at, to in _groups(texts):
+                yield rows_of(b.column(0)[at:to], texts[at:to])
 
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")], T.StructField("items", T.ArrayType(T.StringType()))]
     if cleaned:
@@ -180,13 +193,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; all columns.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark window; all columns.
+
+    Every row is judged by its own text, where it stands: nothing is shuffled.  Null texts stay."""
+    common.prepare(docs.sparkSession)
+    indexes = _indexes(benchmark, window, block_bytes)
+
+    @F.pandas_udf(T.BooleanType())
+    def clean(text: pd.Series) -> pd.Series:
+        texts = [None if t is None else t.encode() for t in text]
+        return pd.Series([len(h) == 0 for at, to in _groups(texts) for h in _scan_blocks(texts[at:to], indexes)[1]], dtype=bool)
 
-    A doc_id that is contaminated in one row goes in all its rows; null ids go only together."""
-    bad = contamination(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("__pl_id")).distinct()
-    bad = common.materialize(bad, "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__pl_id"]), "left_anti")
+    return docs.filter(clean("text"))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

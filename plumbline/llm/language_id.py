@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -175,33 +176,32 @@ def fit(docs: DataFrame, most: int = SAMPLE_DOCS) -> ByteCnn | None:
     return net
 
 
+def _judged(texts: list[bytes | None], scorer: Scorer | None) -> tuple[list[str], list[float]]:
+    """Language and score of each text, in groups of a bounded size."""
+    pred, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    real = [i for i, t in enumerate(texts) if t and scorer and _LETTER(t.decode())]
+    while real:
+        held, n = 0, 0
+        while n < len(real) and held < 4 << 20:
+            held += len(texts[real[n]])
+            n += 1
+        part, real = real[:n], real[n:]
+        p = scorer.texts([texts[i] for i in part])
+        for i, k, v in zip(part, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
+            pred[i], score[i] = scorer.langs[k], min(1.0, v)
+    return pred, score
+
+
 def predict(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
     """(doc_id, lang_pred, score) for every row; no letter, null text or no learned language: ``und``, 0."""
     spark = docs.sparkSession
     common.prepare(spark)
     scorer = spark.sparkContext.broadcast(None if net is None else Scorer(net))
 
-    def rows_of(ids, texts, s):
-        pred, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        real = [i for i, t in enumerate(texts) if t and s and _LETTER(t.decode())]
-        if real:
-            p = s.texts([texts[i] for i in real])
-            best = p.argmax(1)
-            for i, k, v in zip(real, best.tolist(), p.max(1).tolist(), strict=True):
-                pred[i], score[i] = s.langs[k], min(1.0, v)
-        return pa.RecordBatch.from_arrays([ids, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = scorer.value
         for b in batches:
-            texts, at, held = common.as_bytes(b.column(1)), 0, 0
-            for i, t in enumerate(texts):
-                held += len(t or b"")
-                if held >= 4 << 20:
-                    yield rows_of(b.column(0)[at : i + 1], texts[at : i + 1], s)
-                    at, held = i + 1, 0
-            if at < len(texts):
-                yield rows_of(b.column(0)[at:], texts[at:], s)
+            pred, score = _judged(common.as_bytes(b.column(1)), scorer.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
@@ -215,9 +215,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without the documents whose language is undetermined or below ``least``; all columns.
+    """``docs`` without the rows whose language is undetermined or below ``least``; all columns.
+
+    Every row is judged by its own text, where it stands: nothing is shuffled."""
+    net = fit(docs)
+    scorer = docs.sparkSession.sparkContext.broadcast(None if net is None else Scorer(net))
+
+    @F.pandas_udf(T.BooleanType())
+    def known(text: pd.Series) -> pd.Series:
+        pred, score = _judged([None if t is None else t.encode() for t in text], scorer.value)
+        return pd.Series([p != UNDETERMINED and s >= least for p, s in zip(pred, score, strict=True)], dtype=bool)
 
-    A doc_id rejected in every one of its rows goes; one accepted in some row stays in all."""
-    good = predict(docs, fit(docs)).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    ids = common.materialize(good.select(F.col("doc_id").alias("__pl_id")).distinct(), "languages")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__pl_id"]), "left_semi")
+    return docs.filter(known("text"))

@@ -119,7 +119,7 @@ class LineRuns:
 
 
 def lines_to_drop(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(__pl_id, drops): per document the hashes of the lines it loses.
+    """(__pl_id, __pl_drops): per document the hashes of the lines it loses.
 
     A key in ``min_docs`` documents or more keeps its lines only in the largest doc_id; documents
     are told apart by doc_id (rows that share one are one document; null ids together are one,
@@ -131,7 +131,7 @@ def lines_to_drop(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
         store.add(lines.filter(F.col("part") == k))
     common_lines = store.totals().filter(F.col("n_docs") >= min_docs)
     hit = lines.join(common_lines, _KEY).filter(~F.col("doc").eqNullSafe(F.col("last_doc")))
-    return hit.groupBy(F.col("doc").alias("__pl_id")).agg(F.collect_set(F.struct(*_KEY)).alias("drops"))
+    return hit.groupBy(F.col("doc").alias("__pl_id")).agg(F.collect_set(F.struct(*_KEY)).alias("__pl_drops"))
 
 
 def _rebuild(text: bytes | None, drops, min_chars: int) -> tuple[bytes, int, int]:
@@ -165,7 +165,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     names = docs.columns
     joined = _with_drops(docs, lines_to_drop(docs, min_chars, min_docs))
-    text = kept("text", "drops")
+    text = kept("text", "__pl_drops")
     out = joined.withColumn("text", text)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -175,7 +175,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 def digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The contract's columns of op 8."""
     two = docs.select("doc_id", "text")
-    joined = _with_drops(two, lines_to_drop(two, min_chars, min_docs)).select("doc_id", "text", "drops")
+    joined = _with_drops(two, lines_to_drop(two, min_chars, min_docs)).select("doc_id", "text", "__pl_drops")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
