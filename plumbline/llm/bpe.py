@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ from . import common
 
 #: The byte-level pre-tokenizer's pattern, with white space spelled out.
 _SPACE = r"\t-\r \x85\xa0  -     　"
-_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+_PATTERN = rf" ?\p{{L}}+| ?\p{{N}}+|'(?:[stmd]|re|ve|ll)| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+_ASCII = r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 MAX_FILE = 64 << 20
 _KEPT_WORDS = 300_000
 _GROUP_CHARS = 2 << 20
@@ -86,7 +88,7 @@ class Codec:
             self.pieces[i] = s.encode()
         self.decimal = [b"%d" % i for i in range(size)]
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.words = regex.compile(_PATTERN).findall
+        self.words_any, self.words_ascii = regex.compile(_PATTERN).findall, re.compile(_ASCII).findall
         self.rank: dict[tuple[int, int], int] = {}
         self.left, self.right = np.arange(size), np.arange(size)
         self.made = np.full(size, -1, np.int64)  # the rank at which a token arises; bytes: -1
@@ -266,6 +268,10 @@ class Codec:
                 yield joined, joined.count(b",") + 1 if joined else 0, b"".join([d[1] for d in done])
             at = to
 
+    def words(self, text: str) -> list[str]:
+        """The pre-tokenizer's words; pure ASCII goes through the plain engine."""
+        return self.words_ascii(text) if text.isascii() else self.words_any(text)
+
     def _pieces(self, text: str) -> list[str]:
         return self.split_special.split(text) if self.special and any(s in text for s in self.special) else [text]
 
