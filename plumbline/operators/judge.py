@@ -40,11 +40,11 @@ def overall(runs: DataFrame) -> DataFrame:
     n, failed = F.count(F.lit(1)), F.count_if(F.col("pred").isNull())
     one = runs.agg(
         n.alias("n_calls"), F.count_distinct("file").alias("n_images"), F.avg(F.col("ok").cast("double")).alias("micro_accuracy"),
-        failed.alias("n_failed"), (failed / n).alias("failed_rate"), F.sum("cost").alias("cost_total"), F.avg("cost").alias("cost_mean"),
+        failed.alias("n_failed"), F.try_divide(failed, n).alias("failed_rate"), F.sum("cost").alias("cost_total"), F.avg("cost").alias("cost_mean"),
     )
     both = one.join(F.broadcast(macro))  # two single rows
     r = lambda c, d: F.round(c, d).alias(c)
-    return both.select("n_calls", "n_images", F.round(F.col("n_calls") / F.col("n_images"), 2).alias("calls_per_image"), "n_classes", r("micro_accuracy", 6), r("macro_accuracy", 6), "n_failed", r("failed_rate", 4), r("cost_total", 4), r("cost_mean", 6))
+    return both.select("n_calls", "n_images", F.round(F.try_divide("n_calls", "n_images"), 2).alias("calls_per_image"), "n_classes", r("micro_accuracy", 6), r("macro_accuracy", 6), "n_failed", r("failed_rate", 4), r("cost_total", 4), r("cost_mean", 6))
 
 
 def dense_index(files: DataFrame, key: str = "file") -> DataFrame:
@@ -190,7 +190,7 @@ def reliability_table(runs: DataFrame, bins: int = BINS) -> DataFrame:
 
 def ece_mce(runs: DataFrame, bins: int = BINS) -> DataFrame:
     t = reliability(runs, bins)
-    return t.agg(F.round(F.sum(F.col("n") * F.coalesce("gap", F.lit(0.0))) / F.sum("n"), 6).alias("ece"), F.round(F.max("gap"), 6).alias("mce"))
+    return t.agg(F.round(F.try_divide(F.sum(F.col("n") * F.coalesce("gap", F.lit(0.0))), F.sum("n")), 6).alias("ece"), F.round(F.max("gap"), 6).alias("mce"))
 
 
 def losses(runs: DataFrame) -> DataFrame:

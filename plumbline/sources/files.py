@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import taxonomy as tax
 from plumbline.functions import text
+from plumbline.sources import sinks
 
 REVIEW_EXTENSIONS = (".png", ".jpg", ".jpeg", ".webp", ".gif", ".bmp")
 JUDGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".webp")
@@ -16,8 +17,10 @@ PHOTO_EXTENSIONS = (".png", ".jpg", ".jpeg", ".webp", ".bmp")
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
+    # Listings skip names with a leading underscore, so the review folders are named.
+    roots = [root, *[f"{root}/{x}" for x in tax.REVIEW_FOLDERS if sinks.exists(spark, f"{root}/{x}")]]
     try:
-        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select("path", "modificationTime", "length")
     except AnalysisException:  # a missing folder is an empty one
         return spark.createDataFrame([], "path string, modificationTime timestamp, length long")
 
