@@ -12,6 +12,7 @@ from plumbline.functions import taxonomy as tax
 SPLITS = ("train", "val", "test")
 ASSIGNED = ("train", "val")
 VAL_BONUS, TRAIN_BONUS = 0.5, 0.1
+MAX_BROADCAST_CAP = 100_000
 
 
 def doc_histogram(index: DataFrame) -> DataFrame:
@@ -21,18 +22,22 @@ def doc_histogram(index: DataFrame) -> DataFrame:
 
 def cap_round_robin(index: DataFrame, cap: int, seed: int = 0) -> DataFrame:
     """Real train rows that stay when no class may exceed ``cap``: a class's documents give one crop a
-    round, in a seeded order, until the cap; a cap of 0 or less keeps all.
-
-    Ranks inside (label, doc) first, so the second window orders by two small numbers."""
+    round, in a seeded order, until the cap; a cap of 0 or less keeps all."""
     real = index.filter("source = 'real' AND split = 'train'")
     if cap <= 0:
         return real
     key = F.sha1(F.concat_ws(":", F.lit(str(seed)), "label", "path"))
     depth = F.row_number().over(Window.partitionBy("label", "doc").orderBy(key, "path"))
-    # Every document's depth beyond the cap is out, whatever the others hold: that bounds the second sort.
+    # Every document's depth beyond the cap is out, whatever the others hold.
     shallow = real.withColumn("depth", depth).filter(F.col("depth") <= cap)
-    order = F.row_number().over(Window.partitionBy("label").orderBy("depth", "doc"))
-    return shallow.withColumn("rank", order).filter(F.col("rank") <= cap)
+    # A rank is what the rounds before gave plus the place in its own round, so that no window holds
+    # more than a row a document; the rounds' offsets are at most classes x cap rows.
+    rounds = shallow.groupBy("label", "depth").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("label").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rounds.select("label", "depth", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o")).filter(F.col("__o") < cap)
+    place = F.row_number().over(Window.partitionBy("label", "depth").orderBy("doc"))
+    ranked = shallow.join(F.broadcast(offsets) if cap <= MAX_BROADCAST_CAP else offsets, ["label", "depth"]).withColumn("rank", (F.col("__o") + place).cast("int"))
+    return ranked.filter(F.col("rank") <= cap).drop("__o")
 
 
 def index_rows(index: DataFrame, cap: int, seed: int = 0) -> DataFrame:

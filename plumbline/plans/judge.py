@@ -50,7 +50,9 @@ _BOOT = """,
 files AS (SELECT file, row_number() OVER (ORDER BY substr(md5(file), 1, 3), file) - 1 AS idx FROM (SELECT DISTINCT file FROM runs)),
 n AS (SELECT count(*) AS n FROM files),
 d0 AS (SELECT rep, n, (rep * 1000003 + draw * 7919 + 12345) % 2147483647 AS h FROM range(2000) a(rep), n, range(n.n) b(draw)),
-d AS (SELECT rep, (((((h * 48271 + 11) % 2147483647) * 48271 + 11) % 2147483647) * 48271 + 11) % 2147483647 % n AS idx FROM d0),
+d1 AS (SELECT rep, n, (h * h + h * 48271 + 11) % 2147483647 AS h FROM d0),
+d2 AS (SELECT rep, n, (h * h + h * 48271 + 11) % 2147483647 AS h FROM d1),
+d AS (SELECT rep, (h * h + h * 48271 + 11) % 2147483647 % n AS idx FROM d2),
 m AS (SELECT rep, idx, count(*) AS m FROM d GROUP BY ALL),
 """
 

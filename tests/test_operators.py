@@ -77,6 +77,9 @@ def test_judge_blocks_against_python(raw):
     assert warned["true labels outside taxonomy"] == 1 and "uneven repeat counts" in warned
     lo, hi, reps = judge.bootstrap(runs, reps=200).first()
     assert lo <= o["micro_accuracy"] <= hi and reps == 200
+    for macro in (False, True):
+        few, many = (judge.bootstrap(runs, macro, most_draws=m).first() for m in (10**9, 0))
+        assert abs(few["lo"] - many["lo"]) < 0.02 and abs(few["hi"] - many["hi"]) < 0.02
     idx = [r["idx"] for r in judge.dense_index(runs.select("file").distinct()).collect()]
     assert sorted(idx) == list(range(len(idx)))
     assert set(judge.report(df, ["overall", "nothing"])) == {"overall"}
