@@ -100,3 +100,18 @@ def data_url(name: Column, content: Column) -> Column:
     ext = suffix(name)
     mime = F.when(ext.isin(".jpg", ".jpeg"), "image/jpeg").when(ext == ".webp", "image/webp").when(ext == ".gif", "image/gif").when(ext == ".bmp", "image/bmp").otherwise("image/png")
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+
+
+def run_stamp(folder: Column) -> Column:
+    """Start time in a run folder's name, or null."""
+    s = F.regexp_extract(folder, r"(\d{8}_\d{6})", 1)
+    return F.when(s != "", F.try_to_timestamp(s, F.lit("yyyyMMdd_HHmmss"))).cast("timestamp_ntz")
+
+
+def url_filename(url: Column) -> Column:
+    """Last path part of a URL."""
+    return F.element_at(F.split(F.regexp_extract(url, r"^[^?#]*", 0), "/"), -1)
+
+
+def share_label(n: Column, total: Column) -> Column:
+    return F.concat(n.cast("string"), F.lit(" ("), F.format_number(F.try_divide(100 * n, total), 1), F.lit(" %)"))

@@ -113,3 +113,21 @@ def score_replies(images: DataFrame, call: Callable[[str], tuple[str | None, flo
             yield pd.DataFrame(rows, columns=["file", "call_idx", "content", "cost", "error"])
 
     return images.select("file", F.col("call_idx").cast("long")).mapInPandas(run, "file string, call_idx long, content string, cost double, error string")
+
+
+def save_head(spark, head: SoftmaxHead, path: str) -> None:
+    """A checkpoint as one JSON file, with its label order."""
+    import json
+
+    from plumbline.sources import sinks
+
+    sinks.write_text(spark, path, json.dumps({"labels": list(tax.LABELS), "weights": head.weights.tolist(), "bias": head.bias.tolist()}))
+
+
+def load_head(spark, path: str) -> SoftmaxHead:
+    """A saved head; another label order raises."""
+    import json
+
+    spec = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+    check_labels(spec["labels"])
+    return SoftmaxHead(np.array(spec["weights"]), np.array(spec["bias"]))

@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from plumbline.plans import bench, judge, kernels, route, split, synth  # noqa: E402, F401
+from plumbline.plans import bench, extras, judge, kernels, route, split, synth  # noqa: E402, F401

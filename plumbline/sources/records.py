@@ -71,3 +71,13 @@ def load_class_counts(path: str) -> dict[str, int]:
 def plan_gaps(plan: dict[str, int]) -> tuple[list[str], list[str]]:
     """(omitted classes, classes set to zero)."""
     return [x for x in tax.LABELS if x not in plan], [k for k, v in plan.items() if v == 0]
+
+
+def resolve_run(spark: SparkSession, path: str) -> str:
+    """The run file of a run folder, or the path itself when it is a file."""
+    from plumbline.sources import sinks
+
+    for name in (f"{path.rstrip('/')}/run.jsonl", path):
+        if sinks.exists(spark, name):
+            return name
+    raise FileNotFoundError(path)

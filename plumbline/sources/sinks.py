@@ -130,3 +130,17 @@ def write_report(blocks: dict[str, DataFrame], warnings: DataFrame, path: str, t
     write_text(spark, f"{path}/metrics.json", json.dumps({"warnings": warned, "blocks": out}, ensure_ascii=False, indent=1))
     write_text(spark, f"{path}/report.md", "\n".join(lines))
     return out
+
+
+def write_meta(spark: SparkSession, path: str, config: dict, results: dict | None = None) -> None:
+    """Run metadata, written at the start and again with results at the end."""
+    write_text(spark, path, json.dumps(jsonable({"config": config, "results": results, "finished": results is not None}), ensure_ascii=False, indent=1))
+
+
+def collect_labeled(images: DataFrame, path: str) -> DataFrame:
+    """Confirmed images (label, path) by class folder; returns counts with shares, largest first."""
+    from plumbline.operators import route
+
+    kept = images.filter(tax.known(F.col("label")))
+    kept.write.mode("overwrite").partitionBy("label").parquet(path)
+    return route.shares(kept.select("label"), "label").orderBy(F.desc("n"), "label")

@@ -362,3 +362,38 @@ def test_streams(spark, tmp_path):
 def test_regions(spark):
     p = spark.createDataFrame([(1, "<p><TABLE x><img src=a><b>"), (2, "plain"), (3, None)], "page_id int, html string")
     assert [tuple(r)[:3] for r in regions.extract_regions(p).collect()] == [(1, 1, "table"), (1, 2, "picture")]
+
+
+def test_layout_and_draws(spark):
+    from plumbline.functions import draws, layout
+
+    t = "one three seventeen  a b incomprehensibilities x"
+    got = spark.range(1).select(layout.wrap(F.lit(t), 9).alias("w"), layout.shrink(F.lit(100.0), F.lit(60.0)).alias("s"), layout.stack_totals(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0)))).alias("c"), layout.spread_meta(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("a"), F.lit("9"))).alias("m")).first()
+    assert got["w"] == ["one three", "seventeen", "a b", "incomprehensibilities", "x"]
+    assert 55 < got["s"] <= 60 and got["c"] == [4.0, 6.0] and got["m"] == {"a": "9", "b": "2"}
+    u = spark.range(4000).select(draws.unit(F.col("id"), "x").alias("u"), draws.unit(F.col("id"), "y").alias("v"))
+    r = u.select(F.avg("u").alias("m"), F.stddev(draws.normal(F.col("u"), F.col("v"))).alias("s"), F.min("u").alias("lo"), F.max("u").alias("hi")).first()
+    assert abs(r["m"] - 0.5) < 0.02 and abs(r["s"] - 1) < 0.05 and 0 <= r["lo"] and r["hi"] < 1
+    p = spark.range(50).select(draws.sample(F.array(*map(F.lit, "abcdef")), F.col("id"), "s", 3).alias("s")).collect()
+    assert all(len(set(x["s"])) == 3 for x in p) and len({tuple(x["s"]) for x in p}) > 20
+
+
+def test_small_services(spark, tmp_path):
+    head = scoring.SoftmaxHead(np.ones((2, 13)), np.arange(13.0))
+    scoring.save_head(spark, head, str(tmp_path / "h.json"))
+    assert np.array_equal(scoring.load_head(spark, str(tmp_path / "h.json")).bias, head.bias)
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r/run.jsonl").write_text("")
+    assert records.resolve_run(spark, str(tmp_path / "r")).endswith("run.jsonl")
+    with pytest.raises(FileNotFoundError):
+        records.resolve_run(spark, str(tmp_path / "gone"))
+    assert synth.select_classes({"bar": 2, "map": 0, "photo": 3}) == {"bar": 2}
+    with pytest.raises(ValueError):
+        synth.select_classes({"zebra": 1})
+    images = spark.createDataFrame([("bar", "a"), ("bar", "b"), ("_review", "c"), ("map", "d")], "label string, path string")
+    got = [(r["label"], r["n"]) for r in sinks.collect_labeled(images, str(tmp_path / "c")).collect()]
+    assert got == [("TOTAL", 3), ("bar", 2), ("map", 1)]
+    sinks.write_meta(spark, str(tmp_path / "meta.json"), {"n": 1}, {"x": float("nan")})
+    assert json.loads((tmp_path / "meta.json").read_text())["results"] == {"x": None}
+    names = spark.createDataFrame([("runs/20240131_120000_x",), ("other",)], "f string").select(text.run_stamp(F.col("f")).cast("string"), text.share_label(F.lit(1), F.lit(3))).collect()
+    assert names[0][:] == ("2024-01-31 12:00:00", "1 (33.3 %)") and names[1][0] is None
