@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,7 @@ LABELLED_DOCS = 12_000
 SAMPLE_DOCS = 12_000
 LEXICON = 48
 MIN_DOCS = 4
+MIN_SHARE = 0.02
 FEATURES = 3_000
 DENSE = 150
 #: Pattern voters, over the lowered text; {lex} is the mined lexicon.
@@ -151,23 +153,29 @@ def solve(n: float, fired: float, second: np.ndarray, prior: float) -> LabelMode
     mean = np.diag(second) / max(n, 1.0)
     cov = second / max(n, 1.0) - np.outer(mean, mean)
     var = prior * (1 - prior)
+    scale = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
+    spread = np.outer(scale, scale)
+    # A covariance that is hardly there says nothing about either voter.
+    usable = (cov / spread > 0.05) & ~np.eye(m, dtype=bool)
     correlated = np.zeros((m, m), bool)
     sep = np.zeros(m)
     for _ in range(3):  # separations, then the pairs that do not fit them, again without those
+        pair = usable & ~correlated
         for i in range(m):
-            est = []
-            for j in range(m):
-                for k in range(j + 1, m):
-                    if i in (j, k) or correlated[i, j] or correlated[i, k] or correlated[j, k]:
-                        continue
-                    if cov[j, k] > 1e-9 and cov[i, j] > 0 and cov[i, k] > 0:
-                        est.append(cov[i, j] * cov[i, k] / (cov[j, k] * var))
-            # Too few usable triplets: a mined voter fires on the rare class only.
+            near = np.flatnonzero(pair[i])
+            j, k = np.meshgrid(near, near, indexing="ij")
+            fit = (j < k) & pair[j, k]
+            est = cov[i, j[fit]] * cov[i, k[fit]] / (cov[j[fit], k[fit]] * var)
+            # Too few triplets: a mined voter fires on the rare class only.
             sep[i] = math.sqrt(np.median(est)) if len(est) >= 3 else mean[i] / prior
         sep = np.clip(sep, 0.0, 0.999)
-        want = np.outer(sep, sep) * var
-        spread = np.sqrt(np.outer(np.maximum(mean * (1 - mean), 1e-12), np.maximum(mean * (1 - mean), 1e-12)))
-        correlated = ((cov - want) / spread > 0.25) & ~np.eye(m, dtype=bool)
+        excess = (cov - np.outer(sep, sep) * var) / spread
+        np.fill_diagonal(excess, 0.0)
+        # A class of several kinds (languages, say) lifts a whole block of voters alike; a pair is
+        # correlated when it stands out from the block that its voters are in.
+        usual = np.array([np.median(x) if len(x := r[r > 0.1]) >= 3 else 0.0 for r in excess])
+        limit = np.maximum(0.25, 1.8 * usual)
+        correlated = excess > np.maximum(limit[:, None], limit[None])
     floor = 1 / (n + 2)
     rate0 = np.clip(mean - prior * sep, floor, 0.5)
     rate1 = np.clip(rate0 + sep, 2 * floor, 0.999)
@@ -178,6 +186,24 @@ def solve(n: float, fired: float, second: np.ndarray, prior: float) -> LabelMode
     return LabelModel(prior, rate1, rate0, correlated, silent)
 
 
+def without_copies(labelled: DataFrame) -> DataFrame:
+    """One (text, toxic) of each group of rows with the same smallest hash of five words.
+
+    Copies, near ones too, share it nearly always; they would lend weight to a text's chance words.
+    For mining only: a text that is left out for a shared passage is still learned from and scored."""
+
+    def keyed(batches):
+        for b in batches:
+            keys = []
+            for t in common.as_bytes(b.column(0)):
+                w = common.alnum_words(t)
+                keys.append(min((xxhash.xxh64_intdigest(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))), default=0) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], names=["text", "toxic", "k"])
+
+    rows = labelled.select("text", "toxic").mapInArrow(keyed, "text string, toxic long, k long")
+    return rows.groupBy("k").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("r")).select("r.text", "r.toxic")
+
+
 def mine(labelled: DataFrame, most: int = FEATURES, min_docs: int = MIN_DOCS) -> list[tuple[bytes, float]]:
     """(feature, z) of (text, toxic), by the surplus of toxic documents among a feature's own.
 
@@ -208,16 +234,20 @@ def mine(labelled: DataFrame, most: int = FEATURES, min_docs: int = MIN_DOCS) ->
     by_word = labelled.select("text", "toxic").mapInArrow(counted, "word binary, p long, n long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     p1, p0 = (F.col("p") + 0.1) / (pos + 1), (F.col("n") - F.col("p") + 0.5) / (n - pos + 1)
     z = (F.col("p") - F.col("n") * (pos / n)) / F.sqrt(F.col("n") * (pos / n) * (1 - pos / n))
-    lean = by_word.filter(F.col("p") >= min_docs).select("word", F.log(p1 / p0).alias("lean"), z.alias("z")).filter((F.col("lean") > 2.5) & (F.col("z") > 4.0))
+    # Copies of a toxic document repeat its chance words: a feature needs a share of the toxic ones.
+    lean = by_word.filter(F.col("p") >= max(min_docs, math.ceil(MIN_SHARE * pos))).select("word", F.log(p1 / p0).alias("lean"), z.alias("z")).filter((F.col("lean") > 2.5) & (F.col("z") > 5.0))
     return [(bytes(r[0]), float(r[1])) for r in lean.orderBy(F.desc("z"), "word").limit(most).select("word", "z").collect()]
 
 
-def lexicon_of(mined: list[tuple[bytes, float]], size: int = LEXICON) -> list[bytes]:
-    """The strongest features, without those that repeat a chosen beginning or are its own beginning."""
+def lexicon_of(mined: list[tuple[bytes, float]], n_docs: int, size: int = LEXICON) -> list[bytes]:
+    """The strongest features, without those that repeat a chosen beginning or are its own beginning.
+
+    The bar rises with the number of features that were tried, of which a document brings some 1,500."""
+    bar = 1.2 * math.sqrt(2 * math.log(1500 * max(n_docs, 2)))
     out: list[bytes] = []
     for w, z in mined:
         stem = w.rstrip(b"*+")
-        if z >= 6 and not any(stem.startswith(x.rstrip(b"*+")) and b"*" in x or x.rstrip(b"*+").startswith(stem) for x in out):
+        if z >= bar and not any(stem.startswith(x.rstrip(b"*+")) and b"*" in x or x.rstrip(b"*+").startswith(stem) for x in out):
             out.append(w)
         if len(out) == size:
             break
@@ -262,8 +292,9 @@ class Linear:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, s))))
 
 
-def train(names: list[bytes], rows: list[tuple[list[int], float]], l1: float = 1e-3, steps: int = 300) -> Linear:
-    """Proximal gradient with momentum on (feature numbers, posterior): mean weighted log loss + l1 |w|."""
+def train(names: list[bytes], rows: list[tuple[list[int], float]], l1: float = 1e-3, refit: float = 1e-5, steps: int = 300) -> Linear:
+    """Logistic regression on (feature numbers, posterior): an L1 fit selects features, and a fit with
+    hardly any pull, on those alone, sets their weights."""
     if not rows:
         return Linear(-2.0, {})
     y = np.array([q for _, q in rows])
@@ -272,22 +303,28 @@ def train(names: list[bytes], rows: list[tuple[list[int], float]], l1: float = 1
     share = min(max(float(y.mean()), 1e-3), 0.5)
     cost = np.where(y > 0.5, min(10.0, 0.5 / share), 1.0)
     cost /= cost.sum()
-    m = len(names)
-    # Step by the loss's curvature bound: at most a quarter of the cost times the features of a row.
-    per = np.bincount(doc, minlength=len(rows)) + 1
-    rate = 4 / max(float((cost * per).sum()), 1e-9)
-    w, b = np.zeros(m), -2.0
+    w, b = _proximal(doc, feat, y, cost, np.zeros(len(names)), -2.0, l1, steps)
+    on = np.abs(w) > 1e-3
+    kept = on[feat]
+    w, b = _proximal(doc[kept], feat[kept], y, cost, np.where(on, w, 0.0), b, refit, steps)
+    return Linear(b, {names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)})
+
+
+def _proximal(doc, feat, y, cost, w, b: float, l1: float, steps: int) -> tuple[np.ndarray, float]:
+    """Proximal gradient with momentum on mean weighted log loss + l1 |w|, from (w, b)."""
+    per = np.bincount(doc, minlength=len(y)) + 1
+    rate = 4 / max(float((cost * per).sum()), 1e-9)  # the inverse of the loss's curvature bound
     v, vb, t = w.copy(), b, 1.0
     for _ in range(steps):
-        z = vb + np.bincount(doc, v[feat], len(rows))
+        z = vb + np.bincount(doc, v[feat], len(y))
         r = cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        moved = v - rate * np.bincount(feat, r[doc], m)
+        moved = v - rate * np.bincount(feat, r[doc], len(w))
         w2 = np.sign(moved) * np.maximum(np.abs(moved) - rate * l1, 0)
-        b2 = vb - rate * r.sum()
+        b2 = vb - rate * float(r.sum())
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, vb = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
-    return Linear(float(b), {names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)})
+    return w, float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Linear, LabelModel | None, list[bytes]]:
@@ -300,8 +337,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Linear, LabelModel | None,
     marks = labels.select(F.col("doc_id").alias("__pl_id"), "toxic").filter(F.col("toxic").isNotNull() & (_crc("__pl_id") % mod != out))
     marks = common.hash_sample(marks, LABELLED_DOCS, "__pl_id").groupBy("__pl_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
     labelled = common.materialize(seen.join(marks, F.col("doc_id") == F.col("__pl_id")).select("text", "toxic"), "labelled")
-    mined = mine(labelled)
-    lexicon = lexicon_of(mined)
+    distinct = common.materialize(without_copies(labelled), "mined")
+    mined = mine(distinct)
+    lexicon = lexicon_of(mined, distinct.count())
     if not lexicon:
         return Linear(-2.0, {}), None, []
     counts = labelled.agg(F.sum("toxic"), F.count(F.lit(1))).first()
