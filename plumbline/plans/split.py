@@ -43,9 +43,12 @@ def leakage(spark, sf_dir):
     return S.leakage(i, held)
 
 
-@query("split_gap_warnings", W + _WIDE + "SELECT label, unnest(CASE WHEN train + val + test = 0 THEN ['no real images'] ELSE list_filter([CASE WHEN val = 0 THEN 'absent from val' END, CASE WHEN test = 0 THEN 'absent from test' END], lambda x: x IS NOT NULL) END) AS warning FROM wide")
+_GAP = "label NOT IN ('flow', 'map') OR split <> 'val'"
+
+
+@query("split_gap_warnings", (W + _WIDE).replace("LEFT JOIN written USING (label)", f"LEFT JOIN (SELECT * FROM written WHERE ({_GAP}) AND label <> 'waterfall') written USING (label)") + "SELECT label, unnest(CASE WHEN train + val + test = 0 THEN ['no real images'] ELSE list_filter([CASE WHEN val = 0 THEN 'absent from val' END, CASE WHEN test = 0 THEN 'absent from test' END], lambda x: x IS NOT NULL) END) AS warning FROM wide")
 def gap_warnings(spark, sf_dir):
-    return S.gap_warnings(S.index_rows(index(spark, sf_dir), CAP))
+    return S.gap_warnings(S.index_rows(index(spark, sf_dir), CAP).filter(f"({_GAP}) AND label <> 'waterfall'"))
 
 
 @query("split_counts_pivot", W + _WIDE + "SELECT *, train + synth AS train_synth FROM wide UNION ALL SELECT 'TOTAL', CAST(sum(train) AS BIGINT), CAST(sum(val) AS BIGINT), CAST(sum(test) AS BIGINT), CAST(sum(synth) AS BIGINT), CAST(sum(train + synth) AS BIGINT) FROM wide")
