@@ -31,6 +31,7 @@ from . import common
 SHINGLE = 3
 BUDGET = 3
 HOT = 200_000
+_FLUSH = 1 << 18
 _LANES = np.uint64(0x0101010101010101)
 _BITS = 64
 
@@ -255,10 +256,11 @@ def _split_links(batches, width: int, sub: int, budget: int):
         for s, e in zip(cut[:-1], cut[1:], strict=True):
             held.setdefault((int(turn[s]), int(code[s])), []).append(val[s:e].view(np.uint64))
         for key in list(held):
-            if key[1] <= width and sum(map(len, held[key])) > 1 << 18:  # these arrive sorted: all but the last group are whole
+            if key[1] <= width and sum(map(len, held[key])) > _FLUSH:  # groups arrive one after another: all but the last are whole
                 v = np.concatenate(held.pop(key))
                 heads = v >> np.uint64(_BITS - width)
-                at = int(np.searchsorted(heads, heads[-1]))
+                other = np.flatnonzero(heads != heads[-1])
+                at = int(other[-1]) + 1 if len(other) else 0
                 yield from work(key, v[:at])
                 held[key] = [v[at:]]
     for key, v in held.items():

@@ -354,6 +354,25 @@ def test_trie_links_of_dense_groups(spark, hot):
     assert {x: find(x) for x in signed} == lab
 
 
+def test_groups_leave_a_task_whole(monkeypatch):
+    """The same links whether a task's groups leave in parts or all together."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    head = rng.integers(0, 1 << 16, 40).astype(np.uint64) << np.uint64(48)
+    v = np.unique(np.concatenate([h | (np.uint64(1) << rng.integers(0, 48, 30).astype(np.uint64)) for h in head])).view(np.int64)
+    v = np.sort(v)
+    batch = lambda s, e: pa.RecordBatch.from_arrays([pa.array(np.zeros(e - s, np.int32)), pa.array(np.full(e - s, 16, np.int32)), pa.array(v[s:e])], names=["turn", "lead", "val"])
+
+    def found():
+        out = [b.to_pydict() for b in near_dedup._split_links(iter([batch(s, min(s + 17, len(v))) for s in range(0, len(v), 17)]), 16, 12, 3)]
+        return sorted((a, b) for x in out for a, b in zip(x["u"], x["v"], strict=True))
+
+    whole = found()
+    monkeypatch.setattr(near_dedup, "_FLUSH", 50)
+    assert whole and found() == whole
+
+
 # ------------------------------------------------------------------ op 8
 
 
