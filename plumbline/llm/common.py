@@ -16,8 +16,16 @@ _REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 _made: list[tuple[SparkSession, str]] = []
 
 
+#: Rows of an Arrow batch where the session leaves it open: texts may be long.
+BATCH_ROWS = 2000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package even when only the driver's path has it."""
+    """Let Python workers import this package even when only the driver's path has it, and keep
+    Arrow batches of whole texts small unless the session says otherwise."""
+    if spark.conf.get(_ROWS_KEY, None) is None:
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if _REPO not in have.split(os.pathsep):
