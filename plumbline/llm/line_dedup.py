@@ -129,7 +129,9 @@ def lines_to_drop(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     store = LineRuns(spark, fanout)
     for k in range(batches):
         store.add(lines.filter(F.col("part") == k))
-    common_lines = store.totals().filter(F.col("n_docs") >= min_docs)
+    # Written first: few keys are broadcast, and many make a join of two plain exchanges, which adaptive
+    # execution may split where one line is in a third of all documents.
+    common_lines = common.materialize(store.totals().filter(F.col("n_docs") >= min_docs).select(*_KEY, "last_doc"), "common")
     hit = lines.join(common_lines, _KEY).filter(~F.col("doc").eqNullSafe(F.col("last_doc")))
     return hit.groupBy(F.col("doc").alias("__pl_id")).agg(F.collect_set(F.struct(*_KEY)).alias("__pl_drops"))
 
