@@ -6,7 +6,6 @@ import atexit
 import os
 import tempfile
 import uuid
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,12 +72,6 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a written table that no later plan reads."""
-    _delete(spark, path)
-    _made[:] = [x for x in _made if x[1] != path]
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, so a lost
     executor costs a re-read and not the work above."""
@@ -96,11 +89,6 @@ def as_bytes(column) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def crc_mod(doc_id, mod: int) -> int:
-    """crc32 of the id's text, modulo ``mod``; a null id counts as the empty text."""
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod
-
-
 #: ASCII tables: A-Z lowered, and every byte that is not a word byte made a space.
 LOWER = bytes(range(256)).lower()
 ALNUM_WORDS = bytes(b if (48 <= b <= 57 or 97 <= b <= 122 or b >= 128) else 32 for b in LOWER)
