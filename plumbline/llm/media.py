@@ -382,15 +382,29 @@ def thumbnail_hash(grid: np.ndarray) -> str:
     return np.packbits(small > small.mean()).tobytes().hex()
 
 
+def whole(images: list[tuple[Image, np.ndarray]]) -> tuple[int, int, np.ndarray]:
+    """Width, height and luminance thumbnail of all images of a value, one below the other; narrower
+    ones are filled up with middle grey."""
+    wide = max(g.shape[1] for _, g in images)
+    grids = [g if g.shape[1] == wide else np.pad(g, ((0, 0), (0, wide - g.shape[1])), constant_values=128) for _, g in images]
+    return max(im.width for im, _ in images), sum(im.height for im, _ in images), np.concatenate(grids) if len(grids) > 1 else grids[0]
+
+
 def media_columns(files: DataFrame) -> DataFrame:
     """(doc_id, width, height, thumb_width, thumb_height, thumb_hash, thumb_sha256) of (doc_id, media).
 
-    The first image of each value; null or unreadable media give nulls."""
+    All images of each value, one below the other; null or unreadable media give nulls."""
+
+    def row(images):
+        if not images:
+            return (None,) * 6
+        width, height, grid = whole(images)
+        return (width, height, grid.shape[1], grid.shape[0], thumbnail_hash(grid), hashlib.sha256(grid.tobytes()).hexdigest())
 
     def run(batches):
         for b in batches:
             got = load([x or b"" for x in common.as_bytes(b.column(1))])
-            rows = [(None,) * 6 if not g else (g[0][0].width, g[0][0].height, g[0][1].shape[1], g[0][1].shape[0], thumbnail_hash(g[0][1]), hashlib.sha256(g[0][1].tobytes()).hexdigest()) for g in got]
+            rows = [row(g) for g in got]
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=["doc_id", "width", "height", "thumb_width", "thumb_height", "thumb_hash", "thumb_sha256"])
 
@@ -424,14 +438,14 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns of op 10: payloads are stored, and everything but ``n_bytes`` is
-    computed from the stored bytes as they are read back."""
+    computed from the stored bytes as they are read back; the feature is that of all images of a value."""
 
     def rows_of(texts):
         stored = store([pad(t) for t in texts])
         for t, media, got in zip(texts, stored, load(stored), strict=True):
             back = b"".join([grid.tobytes() for _, grid in got])
-            head, grid = got[0]
-            yield (len(t or b""), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{head.width}x{head.height}:{len(got)}:{thumbnail_hash(grid)}")
+            width, height, grid = whole(got)
+            yield (len(t or b""), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{width}x{height}:{len(got)}:{thumbnail_hash(grid)}")
 
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

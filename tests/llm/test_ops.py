@@ -509,6 +509,17 @@ def test_media_of_many_images_and_bytes():
         assert b"".join(t.tobytes() for _, t in got) == p
 
 
+def test_media_feature_reads_all_images(spark):
+    head = "a" * 524_160
+    df = spark.createDataFrame([(0, head + "b" * 200_000), (1, head + "b" * 100_000 + "z" * 100_000), (2, head)], "doc_id long, text string")
+    features = {r["doc_id"]: r["feature"] for r in media.digest(df).collect()}
+    cols = {r["doc_id"]: r for r in media.media_columns(media.store_texts(df)).collect()}
+    assert features[0] != features[1] and features[0].split(":")[:2] == features[1].split(":")[:2] == ["512x90528", "2"]
+    assert cols[0]["thumb_hash"] != cols[1]["thumb_hash"] and cols[0]["thumb_sha256"] != cols[1]["thumb_sha256"]
+    assert [(cols[i]["height"], cols[i]["thumb_height"]) for i in (0, 2)] == [(90_528, 11_316), (65_520, 8_190)]
+    assert cols[1]["thumb_sha256"] == sha(media.pad((head + "b" * 100_000 + "z" * 100_000).encode()))
+
+
 def _huffman(lengths):
     """Canonical codes of (symbol, length) pairs."""
     table, codes, code, last = [0] * 16, {}, 0, 0
