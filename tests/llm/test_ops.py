@@ -105,6 +105,27 @@ def test_lm_base_counts_and_normalisation(odd, sample):
     assert np.allclose(np.exp(z).sum(1), 1, atol=1e-4)
 
 
+def test_lm_rounds_read_all_texts(spark):
+    texts = [f"a b c a b d{i % 3} a c" for i in range(24)] + ["only here once"]
+    words = Counter(w for t in texts for w in [*t.encode().split(), b"\n"])
+    vocab = lm_score.Vocabulary(words.most_common(), sum(words.values()), len(words))
+    got, _ = lm_score.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocab, 2)
+    want = lm_score.Model(vocab)
+    ids, r, *_ = next(lm_score.encode([t.encode() for t in texts], vocab))
+    for _ in range(2):
+        p = np.exp(want.logits(r)).astype(float)
+        p /= p.sum(1, keepdims=True)
+        seen = np.eye(lm_score.CLASSES)[vocab.cls[ids]]
+        e, o = np.zeros((2, lm_score.BUCKETS, lm_score.CLASSES))
+        for f in r:
+            np.add.at(e, f, p)
+            np.add.at(o, f, seen)
+        step = lambda e, o: (o - e) / (np.maximum(o, e) + lm_score.DAMP)
+        want.w = (want.w + lm_score.RATE * step(e, o)).astype(np.float32)
+        want.bias = np.where(vocab.used, want.bias + 0.3 * lm_score.RATE * step(p.sum(0), seen.sum(0)), -60.0).astype(np.float32)
+    assert np.allclose(got.w, want.w, atol=1e-4) and np.allclose(got.bias, want.bias, atol=1e-4)
+
+
 def test_lm_without_training_rows(none, spark):
     assert lm_score.scores(none).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
