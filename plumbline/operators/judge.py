@@ -6,8 +6,6 @@ forms serve every block: per-file votes and (true, pred) counts; both are map-si
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +13,6 @@ from plumbline.functions import taxonomy as tax
 
 BOOTSTRAP_REPS = 2000
 MOST_DRAWS = 2_000_000_000
-MOST_GROUPS = 1_000_000
 ALPHA = 0.05
 SMOOTH = 0.5
 CLIP = 1e-12
@@ -76,55 +73,27 @@ def bootstrap(runs: DataFrame, macro: bool = False, reps: int = BOOTSTRAP_REPS,
     """(lo, hi, reps): percentile interval of accuracy over files resampled with replacement.
 
     Files are first reduced to sufficient statistics; draws are rows made on the executors, joined to
-    them by number and summed by replicate.  Beyond ``most_draws`` draws, files with equal statistics
-    are one group, and a replicate draws the groups' counts at once (the same distribution)."""
+    them by number and summed by replicate.  The draws are the same at every size: beyond ``most_draws``
+    they are only joined as they are, since counting them by file first hardly makes them fewer."""
     stats = runs.groupBy("file", "true").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ok").cast("long")).alias("k"))
     files = dense_index(runs.select("file").distinct())
     n = files.count()
     spark = runs.sparkSession
-    if n * reps > most_draws:
-        stat = _grouped_draws(stats, n, macro, reps)
+    if n:
+        rep = F.floor(F.col("id") / n)
+        draws = spark.range(reps * n).select(rep.alias("rep"), draw_index(rep, F.col("id") % n, F.lit(n)).alias("idx"))
     else:
-        if n:
-            rep = F.floor(F.col("id") / n)
-            draws = spark.range(reps * n).select(rep.alias("rep"), draw_index(rep, F.col("id") % n, F.lit(n)).alias("idx"))
-        else:
-            draws = spark.range(0).select(F.col("id").alias("rep"), F.col("id").alias("idx"))
-        times = draws.groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("m"))
-        picked = times.join(files, "idx").join(stats, "file")
-        share = F.sum(F.col("m") * F.col("k")) / F.sum(F.col("m") * F.col("n"))
-        if macro:
-            stat = picked.filter(F.col("true").isNotNull()).groupBy("rep", "true").agg(share.alias("a")).groupBy("rep").agg(F.avg("a").alias("a"))
-        else:
-            stat = picked.groupBy("rep").agg(share.alias("a"))
+        draws = spark.range(0).select(F.col("id").alias("rep"), F.col("id").alias("idx"))
+    times = draws.withColumn("m", F.lit(1)) if n * reps > most_draws else draws.groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("m"))
+    picked = times.join(files, "idx").join(stats, "file")
+    share = F.sum(F.col("m") * F.col("k")) / F.sum(F.col("m") * F.col("n"))
+    if macro:
+        stat = picked.filter(F.col("true").isNotNull()).groupBy("rep", "true").agg(share.alias("a")).groupBy("rep").agg(F.avg("a").alias("a"))
+    else:
+        stat = picked.groupBy("rep").agg(share.alias("a"))
     return stat.agg(F.round(F.percentile("a", F.lit(alpha / 2)), 6).alias("lo"), F.round(F.percentile("a", F.lit(1 - alpha / 2)), 6).alias("hi"), F.count(F.lit(1)).alias("reps"))
 
 
-def _grouped_draws(stats: DataFrame, n: int, macro: bool, reps: int) -> DataFrame:
-    """(rep, a) from multinomial counts of the distinct per-file statistics."""
-    part = F.struct("true", "n", "k") if macro else F.struct(F.lit(None).cast("string").alias("true"), "n", "k")
-    groups = stats.groupBy("file").agg(F.sort_array(F.collect_list(part)).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).limit(MOST_GROUPS + 1).collect()
-    if len(groups) > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} distinct file statistics; raise most_draws")
-    share = np.array([g["c"] for g in groups], float) / n
-    classes = sorted({x["true"] for g in groups for x in g["s"] if x["true"] is not None}) if macro else [None]
-    tot, hit = np.zeros((2, len(groups), len(classes)))
-    for i, g in enumerate(groups):
-        for x in g["s"]:
-            if x["true"] in classes:
-                tot[i, classes.index(x["true"])] += x["n"]
-                hit[i, classes.index(x["true"])] += x["k"]
-
-    def run(batches):
-        for b in batches:
-            m = np.array([np.random.default_rng(r).multinomial(n, share) for r in b["rep"]], float).reshape(len(b), len(groups))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                a = np.nanmean((m @ hit) / (m @ tot), axis=1) if len(b) else np.zeros(0)
-            yield pd.DataFrame({"rep": b["rep"], "a": a})
-
-    return stats.sparkSession.range(reps).select(F.col("id").alias("rep")).mapInPandas(run, "rep long, a double")
-
-
 def confusion_counts(runs: DataFrame) -> DataFrame:
     """(true, pred, n) over labelled, answered calls."""
     return runs.filter(F.col("true").isNotNull() & F.col("pred").isNotNull()).groupBy("true", "pred").agg(F.count(F.lit(1)).alias("n"))

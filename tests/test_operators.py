@@ -85,6 +85,14 @@ def test_judge_blocks_against_python(raw):
     assert set(judge.report(df, ["overall", "nothing"])) == {"overall"}
 
 
+def test_bootstrap_draws_are_the_same_at_every_size(spark):
+    calls = [(f"{k}/{i}.png", k, k if (i * 7 + c) % 5 else "map", 0.5, c, 0.0, None) for i in range(40) for k in ("bar", "line") for c in range(1 + i % 3)]
+    runs = judge.tidy(spark.createDataFrame(calls, records.RUN))
+    for macro in (False, True):
+        few, many = (judge.bootstrap(runs, macro, reps=100, most_draws=m).first() for m in (10**9, 0))
+        assert few == many and few["reps"] == 100
+
+
 def test_empty_runs(spark):
     runs = judge.tidy(spark.createDataFrame([], records.RUN))
     assert judge.overall(runs).first()["n_calls"] == 0
