@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import color, text
 from plumbline.functions import taxonomy as tax
 from plumbline.operators import bench, figures, judge, manifest, qa, route, scoring, split, synth
+from plumbline.plans import registry
 from plumbline.sources import files, records, regions, sinks
 from plumbline.streaming import runs as streams
 
@@ -287,6 +288,23 @@ def test_samples_are_valid_and_repeat(spark):
     assert scoring.preprocess(img).shape == (3, 224, 224)
 
 
+def test_other_figures_are_drawn(spark):
+    assert set(figures.OTHER_MARKS) == set(synth.SUBTYPES["other"])
+    for sub in synth.SUBTYPES["other"]:
+        seen = set()
+        for seed in range(24):
+            rng = np.random.default_rng(seed)
+            spec = figures.build_spec("other", sub, rng)
+            img = figures.raster("other", sub, spec, figures.style_sheet(rng), 90 + seed, 70)
+            assert img.shape == (70, 90 + seed, 3) and len({k for k, _, _ in spec["inside"]}) == len(spec["inside"])
+            assert sub == "blank_artifact" or (img != img[-1, 0]).any(), (sub, seed)
+            seen.add(img.tobytes())
+        assert len(seen) > 12, sub
+    planned = registry.QUERIES["synth_task_plan"](spark, "/root/testdata/sf0.001").filter("label = 'other'").count()
+    drawn = registry.QUERIES["synth_render"](spark, "/root/testdata/sf0.001").filter("label = 'other'").collect()
+    assert len(drawn) == planned > 0 and all(r["error"] is None and r["n_bytes"] > 0 for r in drawn)
+
+
 def test_class_count_plans(tmp_path):
     def plan(s):
         (tmp_path / "p.yaml").write_text(s)
