@@ -1,16 +1,22 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-The store is a log-structured tree of Parquet runs in the shared folder.  A run is sorted by the
-128-bit hash of a line's key and says in how many documents the key was seen and the largest of
-their ids.  A new batch is reduced to one row per key, merge-anti-joined with the runs (what has no
-match is fresh), and written as its own run of level 0; when a level holds ``fanout`` runs they are
-compacted into one run of the next level.  Counts add and ids take the maximum, so a key's totals
-are the same however its batches were cut, provided a document is in one batch: batches are dealt
-by the hash of doc_id.
+The store is a log-structured merge tree of runs in the shared folder.  A run is bucketed and sorted by
+the 128-bit hash of a line's key.  A new batch is reduced to one row a key, (documents, largest id),
+and merge-anti-joined with the runs: what no run has is fresh and becomes a run of level 0; the others
+only add to a key that some run has and are written apart, as additions.  So a key is in one run, once,
+whatever the number of batches.  When a level holds ``fanout`` runs they are compacted into one run of
+the next level.  A key's totals are its run's row and the sum of its additions; most lines are seen
+once and are in a run only.  Totals are the same however batches are cut, provided a document is in one
+batch: batches are dealt by the hash of doc_id.
+
+All runs and additions have the same buckets, and a batch is shuffled to them once: the anti-join, the
+compaction and the totals merge bucket with bucket and move nothing.
 
 Skew.  A line's documents are counted by (key, doc) first and then by key with map-side partial
-sums, so a line that a third of all documents hold is no large group; the join that marks its
-documents is a plain equi-join that adaptive execution may split.
+sums, so a line that a third of all documents hold is no large group.  Up to ``FEW_KEYS`` common keys
+are broadcast and every text is cut where it stands.  Beyond that, the join that marks their documents
+is a plain equi-join that adaptive execution may split, and the marks meet the texts in a merge join,
+which spills.
 """
 
 from __future__ import annotations
@@ -19,7 +25,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +37,8 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 3
 FANOUT = 2
+#: Common keys that are broadcast (some 30 MB in a worker); more go through joins.
+FEW_KEYS = 200_000
 _KEY = ["h1", "h2"]
 
 
@@ -62,130 +69,168 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, n_docs, last_doc)."""
+    """Levelled sorted runs of (h1, h2, n_docs, last_doc), a key in one run at most, and additions to
+    them.  An empty store has no keys; null documents count as one, and come before all others.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
-        self.spark, self.fanout, self.levels = spark, fanout, []
+    ``buckets`` are the session's shuffle partitions unless given.  Runs are tables of the session's
+    catalog, by random names, over files in the shared folder."""
 
-    def _write(self, rows: DataFrame, level: int) -> None:
-        path = common.new_path(self.spark, f"run{level}")
-        files = max(8, 2 * self.spark.sparkContext.defaultParallelism)
-        rows.coalesce(files).sortWithinPartitions(*_KEY).write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None) -> None:
+        self.spark, self.fanout, self.levels, self.additions = spark, fanout, [], []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*paths)
+    def _write(self, rows: DataFrame) -> str:
+        """Write (keys, n_docs, last_doc, fresh): fresh rows make a run, the others additions."""
+        path = common.new_path(self.spark, "run")
+        rows.write.partitionBy("fresh").bucketBy(self.buckets, *_KEY).sortBy(*_KEY).format("parquet").option("path", path).saveAsTable(common.table_name(path))
+        return path
 
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+    def _rows(self, path: str, fresh: bool) -> DataFrame:
+        rows = self.spark.table(common.table_name(path))
+        return rows.filter("fresh" if fresh else "NOT fresh").select(*_KEY, "n_docs", "last_doc")
 
-    @staticmethod
-    def _merge(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*_KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    def runs(self) -> list[DataFrame]:
+        return [self._rows(path, True) for level in self.levels for path in level]
 
-    def add(self, lines: DataFrame) -> str:
-        """Take a batch (h1, h2, doc) in; ``fresh`` in its run says that no earlier batch had the key.
-        Returns the path of the run as it was written."""
+    def add(self, lines: DataFrame) -> DataFrame:
+        """Take a batch (h1, h2, doc) in; returns its fresh rows, read from their run."""
         batch = lines.groupBy(*_KEY).agg(F.count_distinct(F.coalesce(F.col("doc").cast("string"), F.lit(""))).alias("n_docs"), F.max("doc").alias("last_doc"))
-        old = self.paths()
-        if old:
-            known = self._read(old).select(*_KEY).hint("merge")
-            # The runs hold a key once each at most; a key in several runs is made one by the compaction's own rule.
-            known = known.distinct() if len(old) > 1 else known
-            batch = batch.join(known.withColumn("__known", F.lit(True)), _KEY, "left").select(*_KEY, "n_docs", "last_doc", F.col("__known").isNull().alias("fresh"))
-        else:
-            batch = batch.withColumn("fresh", F.lit(True))
-        self._write(batch, 0)
-        path = self.levels[0][-1]
-        self._compact()
-        return path
-
-    def _compact(self) -> None:
-        level = 0
-        while level < len(self.levels):
-            old = self.levels[level]
-            if len(old) >= self.fanout:
-                self.levels[level] = []
-                self._write(self._merge(self._read(old)).withColumn("fresh", F.lit(False)), level + 1)
-            level += 1
+        known = []
+        for k, run in enumerate(self.runs()):
+            known.append(f"__known{k}")
+            batch = batch.join(run.select(*_KEY, F.lit(True).alias(known[-1])).hint("merge"), _KEY, "left")
+        fresh = F.lit(True)
+        for k in known:
+            fresh = fresh & F.col(k).isNull()
+        path = self._write(batch.select(*_KEY, "n_docs", "last_doc", fresh.alias("fresh")))
+        self.additions += [path] if known else []
+        self._push(path, 0)
+        return self._rows(path, True)
+
+    def _push(self, path: str, level: int) -> None:
+        """A run takes its place in a level; a full level is compacted into a run of the next."""
+        if len(self.levels) == level:
+            self.levels.append([])
+        self.levels[level].append(path)
+        old = self.levels[level]
+        if len(old) >= self.fanout:
+            # Keys are in one run only, so that a merge brings rows together and adds nothing up.
+            merged = self._union(old, True).groupBy(*_KEY).agg(F.max("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+            self.levels[level] = []
+            new = self._write(merged.withColumn("fresh", F.lit(True)))
+            for x in old if level else []:  # level 0 holds the additions too
+                common.drop(self.spark, x)
+            self._push(new, level + 1)
+
+    def _union(self, paths: list[str], fresh: bool) -> DataFrame:
+        out = self._rows(paths[0], fresh)
+        for path in paths[1:]:
+            out = out.union(self._rows(path, fresh))
+        return out
 
     def totals(self) -> DataFrame:
-        """(h1, h2, n_docs, last_doc) over all batches."""
-        paths = self.paths()
-        rows = self._read(paths).select(*_KEY, "n_docs", "last_doc")
-        return rows if len(paths) == 1 else self._merge(rows)
-
-
-def lines_to_drop(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(__pl_id, __pl_drops): per document the hashes of the lines it loses.
-
-    A key in ``min_docs`` documents or more keeps its lines only in the largest doc_id; documents
-    are told apart by doc_id (rows that share one are one document; null ids together are one,
-    the smallest)."""
-    spark = docs.sparkSession
-    lines = common.materialize(line_hashes(docs, min_chars).withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")), "lines")
-    store = LineRuns(spark, fanout)
+        """(h1, h2, n_docs, last_doc) over all batches, a key once."""
+        runs = self.runs()
+        if not runs:
+            return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, last_doc long")
+        if len(self.additions) > 1:
+            added = self._union(self.additions, False).groupBy(*_KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+            self.additions = [self._write(added.withColumn("fresh", F.lit(False)))]
+        if self.additions:
+            added = self._rows(self.additions[0], False).select(*_KEY, F.col("n_docs").alias("more"), F.col("last_doc").alias("later")).hint("merge")
+            both = (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc")
+            runs = [run.join(added, _KEY, "left").select(*_KEY, *both) for run in runs]
+        out = runs[0]
+        for run in runs[1:]:
+            out = out.union(run)
+        return out
+
+
+def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
+    """The written (h1, h2, doc, part) of ``docs``; ``part`` is the batch of a document."""
+    part = F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")
+    return common.materialize(line_hashes(docs, min_chars).withColumn("part", part), "lines", by="part")
+
+
+def common_lines(lines: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """The written (h1, h2, last_doc) of the keys that ``min_docs`` documents or more hold.
+
+    Documents are told apart by doc_id (rows that share one are one document; null ids together are
+    one, the smallest)."""
+    store = LineRuns(lines.sparkSession, fanout)
     for k in range(batches):
         store.add(lines.filter(F.col("part") == k))
-    # Written first: few keys are broadcast, and many make a join of two plain exchanges, which adaptive
-    # execution may split where one line is in a third of all documents.
-    common_lines = common.materialize(store.totals().filter(F.col("n_docs") >= min_docs).select(*_KEY, "last_doc"), "common")
-    hit = lines.join(common_lines, _KEY).filter(~F.col("doc").eqNullSafe(F.col("last_doc")))
-    return hit.groupBy(F.col("doc").alias("__pl_id")).agg(F.collect_set(F.struct(*_KEY)).alias("__pl_drops"))
+    return common.materialize(store.totals().filter(F.col("n_docs") >= min_docs).select(*_KEY, "last_doc"), "common")
 
 
-def _rebuild(text: bytes | None, drops, min_chars: int) -> tuple[bytes, int, int]:
-    lines = (text or b"").split(b"\n")
-    if drops is None or len(drops) == 0:
-        return text or b"", len(lines), 0
-    kept = [x for x in lines if _key(x, min_chars) not in drops]
-    return b"\n".join(kept), len(lines), len(lines) - len(kept)
+def _digest_of(h1: int, h2: int) -> bytes:
+    return h1.to_bytes(8, "little", signed=True) + h2.to_bytes(8, "little", signed=True)
 
 
-def _with_drops(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    return docs.join(drops.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(drops["__pl_id"]), "left").drop("__pl_id")
+def _drops(docs: DataFrame, min_chars: int, min_docs: int, few: int) -> tuple[DataFrame, object]:
+    """Where the keys that make a line go are: broadcast, {key: id of the document that keeps it}, with
+    ``docs`` as they are, or with more than ``few`` keys None, and ``docs`` with ``__pl_drops``, the
+    keys that a document loses."""
+    lines = lines_of(docs.select("doc_id", "text"), min_chars)
+    keys = common_lines(lines, min_docs)
+    if keys.count() <= few:
+        held = {_digest_of(r["h1"], r["h2"]): r["last_doc"] for r in keys.collect()}
+        return docs.withColumn("__pl_drops", F.lit(None).cast("array<struct<h1:bigint,h2:bigint>>")), docs.sparkSession.sparkContext.broadcast(held)
+    hit = lines.join(keys, _KEY).filter(~F.col("doc").eqNullSafe(F.col("last_doc")))
+    drops = hit.groupBy("doc").agg(F.collect_set(F.struct(*_KEY)).alias("__pl_drops")).withColumnRenamed("doc", "__pl_doc")
+    return docs.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__pl_doc")), "left").drop("__pl_doc"), None
 
 
-def _packed(column) -> list:
-    """An Arrow column of arrays of (h1, h2) as sets of 16-byte digests, or None."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return [None if x is None else {int(y["h1"]).to_bytes(8, "little", signed=True) + int(y["h2"]).to_bytes(8, "little", signed=True) for y in x} for x in column.to_pylist()]
+def _rebuild(text: bytes | None, doc, drops, keepers: dict | None, min_chars: int) -> tuple[bytes, int, int]:
+    """A text without the lines it loses, its lines, and how many it loses."""
+    lines = (text or b"").split(b"\n")
+    if keepers is None:
+        gone = {_digest_of(x["h1"], x["h2"]) for x in drops or ()}
+        kept = [x for x in lines if _key(x, min_chars) not in gone] if gone else lines
+    else:
+        kept = [x for x in lines if keepers.get(_key(x, min_chars), doc) == doc] if keepers else lines
+    return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, few: int = FEW_KEYS) -> DataFrame:
     """``docs`` with repeated lines removed from ``text`` (``n_chars`` follows, where it is a column).
 
-    Every row stays; a text that loses all its lines becomes empty; null stays null."""
-
-    @F.pandas_udf(T.StringType())
-    def kept(text: pd.Series, drops: pd.Series) -> pd.Series:
-        sets = [None if d is None else {int(y["h1"]).to_bytes(8, "little", signed=True) + int(y["h2"]).to_bytes(8, "little", signed=True) for y in d} for d in drops]
-        return pd.Series([t if t is None or not s else _rebuild(t.encode(), s, min_chars)[0].decode() for t, s in zip(text, sets, strict=True)], dtype=object)
-
-    names = docs.columns
-    joined = _with_drops(docs, lines_to_drop(docs, min_chars, min_docs))
-    text = kept("text", "__pl_drops")
-    out = joined.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
-
-
-def digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    Every row stays, with all its columns whatever their names; a text that loses all its lines becomes
+    empty; null stays null."""
+    common.prepare(docs.sparkSession)
+    # Own names while the operator works: no column of the input can clash with a helper's.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: names[i] for i, c in enumerate(docs.columns)}
+    own = docs.toDF(*names).withColumnsRenamed({at["doc_id"]: "doc_id", at["text"]: "text"})
+    joined, keepers = _drops(own, min_chars, min_docs, few)
+
+    @F.arrow_udf(T.StringType())
+    def kept(doc: pa.Array, text: pa.Array, drops: pa.Array) -> pa.Array:
+        held = None if keepers is None else keepers.value
+        rows = zip(doc.to_pylist(), common.as_bytes(text), drops.to_pylist(), strict=True)
+        out = [None if t is None else _rebuild(t, i, d, held, min_chars)[0] for i, t, d in rows]
+        return pa.array(out, pa.binary()).cast(pa.string())
+
+    out = joined.withColumn("text", kept("doc_id", "text", "__pl_drops"))
+    if "n_chars" in at:
+        out = out.withColumn(at["n_chars"], F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(c if c in ("doc_id", "text") else at[c]).alias(c) for c in docs.columns])
+
+
+def digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, few: int = FEW_KEYS) -> DataFrame:
     """The contract's columns of op 8."""
-    two = docs.select("doc_id", "text")
-    joined = _with_drops(two, lines_to_drop(two, min_chars, min_docs)).select("doc_id", "text", "__pl_drops")
+    common.prepare(docs.sparkSession)
+    joined, keepers = _drops(docs.select("doc_id", "text"), min_chars, min_docs, few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None if keepers is None else keepers.value
         for b in batches:
-            rows = [_rebuild(t, d, min_chars) for t, d in zip(common.as_bytes(b.column(1)), _packed(b.column(2)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows])], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+            texts = zip(b.column(0).to_pylist(), common.as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True)
+            rows = [(hashlib.sha256(text).hexdigest(), n, k) for text, n, k in (_rebuild(t, i, d, held, min_chars) for i, t, d in texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return joined.mapInArrow(run, schema)
+    return joined.select("doc_id", "text", "__pl_drops").mapInArrow(run, schema)
 
 
 ORACLE = r"""
