@@ -8,8 +8,9 @@ their host's verdict: block where distrust exceeds trust by ``THRESHOLD`` of wha
 host holds by itself.
 
 All of it is DataFrame code.  Edges are summed by host pair before the first join, so a host with a
-third of all pages is one row a partner; each round's ranks are cut off by a checkpoint every few
-rounds.
+third of all pages is one row a partner.  Both walks move together, as two kinds of rows.  Ranks only
+rise, by 0.85 of a round's rise in the next, so the walk goes on until no host gains more than
+``TOLERANCE`` any more; every few rounds are one job whose result is written.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ RULES = (
     ("block", "org/es/"),
 )
 DAMPING = 0.85
-ROUNDS = 8
+#: The walk ends when no host's rank rises by more in a stride of rounds.
+TOLERANCE = 1e-8
+#: Rounds between two written results, each with a test for the end.
+STRIDE = 6
 THRESHOLD = 0.5
 MAX_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,34 +72,51 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank): ``rounds`` steps of rank = (1 - damping) seed + damping * the ranks that flow in.
-
-    ``edges``: (src, dst, w) with the weights of a source summing to one; ``seeds``: (host, seed).
-    A source without edges keeps nothing of its flow."""
-    common.shared_dir(edges.sparkSession)
-    own = seeds.select("host", ((1 - damping) * F.col("seed")).alias("own"))
-    ranks = own.select("host", F.col("own").alias("rank"))
-    for k in range(rounds):
-        flow = edges.join(ranks, edges["src"] == ranks["host"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("w") * F.col("rank"))).alias("flow"))
-        ranks = own.join(flow, "host", "full").select("host", (F.coalesce("own", F.lit(0.0)) + F.coalesce("flow", F.lit(0.0))).alias("rank"))
-        if k % 4 == 3:
-            ranks = ranks.checkpoint()
-    return ranks
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, rank): the solution of rank = (1 - damping) seed + damping * the ranks that flow in,
+    for each kind of walk, to ``tolerance`` a round.
+
+    ``edges``: (kind, src, dst, w) with the weights of a source summing to one; ``seeds``: (kind, host,
+    seed).  A source without edges keeps nothing of its flow; a host without a seed starts with none,
+    and appears where a flow reaches it.  Without seeds or edges the ranks are the seeds' own."""
+    spark = edges.sparkSession
+    edges = edges.withColumnRenamed("kind", "k")
+    own = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("own"))
+    own = common.materialize(own, "own")
+    held, path, moved = own.withColumnRenamed("own", "rank"), None, 1.0
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    while moved > tolerance:
+        ranks = held
+        for _ in range(STRIDE):
+            flow = edges.join(ranks, (F.col("k") == F.col("kind")) & (F.col("src") == F.col("host"))).groupBy("kind", F.col("dst").alias("host")).agg((damping * F.sum(F.col("w") * F.col("rank"))).alias("flow"))
+            ranks = own.join(flow, ["kind", "host"], "full").select("kind", "host", (zero("own") + zero("flow")).alias("rank"))
+        # What a whole stride moves is no less than what its last round does.
+        before = held.withColumnRenamed("rank", "before")
+        risen = ranks.join(before, ["kind", "host"], "left").select("kind", "host", "rank", (F.col("rank") - zero("before")).alias("moved"))
+        held, new = common.written(risen, "ranks")
+        moved = held.agg(F.max("moved")).first()[0] or 0.0
+        held = held.drop("moved")
+        if path:
+            common.drop(spark, path)
+        path = new
+    return held
 
 
 def host_scores(judged: DataFrame, edges: DataFrame) -> DataFrame:
     """(host, trust, distrust) from judged pages (host, rule_verdict) and host edges (src, dst, n)."""
-    seeds = judged.filter("host <> ''").groupBy("host").agg(F.avg(F.when(F.col("rule_verdict") == "allow", 1.0).otherwise(0.0)).alias("good"), F.avg(F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0)).alias("bad"))
+    share = lambda verdict: F.avg(F.when(F.col("rule_verdict") == verdict, 1.0).otherwise(0.0))
+    seeds = judged.filter("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"))
     seeds = common.materialize(seeds, "seeds")
     edges = common.materialize(edges, "edges")
     if edges.isEmpty():
         return seeds.select("host", ((1 - DAMPING) * F.col("good")).alias("trust"), ((1 - DAMPING) * F.col("bad")).alias("distrust"))
-    out = edges.join(edges.groupBy("src").agg(F.sum("n").alias("all")), "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w"))
-    back = edges.join(edges.groupBy("dst").agg(F.sum("n").alias("all")), "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("w"))
-    trust = propagate(out, seeds.select("host", F.col("good").alias("seed"))).withColumnRenamed("rank", "trust")
-    distrust = propagate(back, seeds.select("host", F.col("bad").alias("seed"))).withColumnRenamed("rank", "distrust")
-    return trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    both = edges.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst"), "n") for kind, a, b in (("trust", "src", "dst"), ("distrust", "dst", "src"))])).alias("e")).select("e.*")
+    total = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
+    walk = common.materialize(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("w")), "walk")
+    start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "good", F.lit("distrust"), "bad")).alias("kind", "seed"))
+    ranks = propagate(walk, start.select("kind", "host", "seed"))
+    by_kind = [F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind) for kind in ("trust", "distrust")]
+    return ranks.groupBy("host").agg(*by_kind)
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -108,13 +129,13 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     rule, kind = rule_of(F.col("host"), F.col("path"), rules)
     judged = common.materialize(parsed.select("page_id", "host", "path", rule.alias("rule"), kind.alias("rule_verdict")), "judged")
     hosts = host_scores(judged.select("host", "rule_verdict"), host_edges(pages.select("url", "html")))
-    blocked = hosts.filter(F.round(F.col("distrust") - F.col("trust"), 9) >= round(threshold * (1 - DAMPING), 9)).select("host", F.lit("block").alias("host_verdict"))
+    blocked = hosts.filter(F.round(F.col("distrust") - F.col("trust"), 6) >= round(threshold * (1 - DAMPING), 6)).select("host", F.lit("block").alias("host_verdict"))
     out = judged.join(blocked, "host", "left")
     return out.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("rule_verdict", "host_verdict", F.lit("allow")).alias("verdict"))
 
 
-def oracle(rounds: int = ROUNDS) -> str:
-    """The same in SQL, with the rounds written out."""
+def oracle() -> str:
+    """The same in SQL: each walk as the sum of what its rounds move, until that is too little."""
     cases = sorted(RULES, key=lambda r: (-len(r[1]), r[0] != "block", r[1]))
 
     def case(pick):
@@ -130,12 +151,10 @@ def oracle(rounds: int = ROUNDS) -> str:
         f"p AS MATERIALIZED (SELECT src, translate(regexp_extract(substr(link, strpos(link, '//') + 2), '^[^/?#]*'), {low}) AS dst FROM l)",
         "e AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM p WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL)",
         "s AS MATERIALIZED (SELECT host, avg(CASE WHEN rv = 'allow' THEN 1.0 ELSE 0.0 END) AS good, avg(CASE WHEN rv = 'block' THEN 1.0 ELSE 0.0 END) AS bad FROM j WHERE host <> '' GROUP BY host)",
-        "ef AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM e)",
-        "eb AS MATERIALIZED (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY dst) AS w FROM e)",
+        "w AS MATERIALIZED (SELECT 'trust' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM e UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM e)",
+        f"m(step, kind, host, moved) AS (SELECT 0, kind, host, {1 - DAMPING} * seed FROM (SELECT 'trust' AS kind, host, good AS seed FROM s UNION ALL SELECT 'distrust', host, bad FROM s) WHERE seed > 0"
+        f" UNION ALL SELECT step + 1, m.kind, dst, {DAMPING} * sum(w * moved) FROM m JOIN w ON w.kind = m.kind AND src = host GROUP BY step, m.kind, dst HAVING sum(w * moved) > {TOLERANCE / 100})",
+        "h AS (SELECT host, coalesce(sum(moved) FILTER (kind = 'distrust'), 0) - coalesce(sum(moved) FILTER (kind = 'trust'), 0) AS over FROM m GROUP BY host)",
+        f"b AS (SELECT host FROM h WHERE round(over, 6) >= {round(THRESHOLD * (1 - DAMPING), 6)})",
     ]
-    for name, edges, seed in (("t", "ef", "good"), ("d", "eb", "bad")):
-        parts.append(f"{name}0 AS MATERIALIZED (SELECT host, {1 - DAMPING} * {seed} AS r FROM s)")
-        for k in range(rounds):
-            parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT host, sum(r) AS r FROM (SELECT host, {1 - DAMPING} * {seed} AS r FROM s UNION ALL SELECT dst, {DAMPING} * w * r FROM {edges} JOIN {name}{k} ON src = host) GROUP BY host)")
-    parts.append(f"b AS (SELECT host FROM t{rounds} FULL JOIN d{rounds} USING (host) WHERE round(coalesce(d{rounds}.r, 0) - coalesce(t{rounds}.r, 0), 9) >= {round(THRESHOLD * (1 - DAMPING), 9)})")
-    return "WITH " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, coalesce(rv, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM j"
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, coalesce(rv, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM j"
