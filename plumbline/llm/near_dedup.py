@@ -11,8 +11,10 @@ about n and emits at most n - 1 links, never all its pairs, while connectivity s
 Links become components by alternating large-star / small-star rounds, each checkpointed.
 
 Skew.  Identical fingerprints are one node.  A group above ``hot`` members is divided by a
-second block inside the remaining bits (exact, for the same reason as the first), and its
-links meet in the component step.
+second block inside the remaining bits (exact, for the same reason as the first), and so on, up to
+``DIVISIONS`` times: the members of what is then left share 43 bits, so they are 2,097,152 at most (17
+MB).  A task works on whole groups one after another and holds no more than the largest.
+Links meet in the component step.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from . import common
 SHINGLE = 3
 BUDGET = 3
 HOT = 200_000
+DIVISIONS = 3
 _FLUSH = 1 << 18
 _LANES = np.uint64(0x0101010101010101)
 _BITS = 64
@@ -173,116 +176,129 @@ def _rotl(x: np.ndarray, by: int) -> np.ndarray:
     return x if by == 0 else (x << np.uint64(by)) | (x >> np.uint64(_BITS - by))
 
 
+def _leads(budget: int) -> list[int]:
+    """Bits that a group shares, by how often it was divided."""
+    out = [_BITS // (budget + 1)]
+    while len(out) <= DIVISIONS and (_BITS - out[-1]) // (budget + 1):
+        out.append(out[-1] + (_BITS - out[-1]) // (budget + 1))
+    return out
+
+
 def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     """(u, v), u > v: links that connect every two distinct fingerprints of column ``fp`` within
-    ``budget`` bits, as a forest per group."""
+    ``budget`` bits, as a forest per group.
+
+    A row of a group is (turn, path, val): the fingerprint turned so that all bits that its group
+    shares lead, and how: turned by ``turn``, then for each digit j + 1 of ``path`` (to the base
+    ``budget`` + 2) the bits behind the shared ones turned by j blocks."""
     spark = fps.sparkSession
-    width = _BITS // (budget + 1)
-    turns = [i * width for i in range(budget + 1)]
+    leads, base = _leads(budget), budget + 2
 
     def turned(x, by):
         return x if by == 0 else F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, _BITS - by))
 
     x = F.col("fp")
-    blocks = fps.select(F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), turned(x, t).alias("val")) for t in turns])).alias("b"))
-    blocks = blocks.select("b.turn", "b.val", F.shiftrightunsigned("b.val", _BITS - width).alias("head"))
-    crowded = blocks.groupBy("turn", "head").count().filter(F.col("count") > hot).select("turn", "head", F.lit(True).alias("crowded"))
-    tagged = blocks.join(crowded, ["turn", "head"], "left")
-    sub = (_BITS - width) // (budget + 1)
-    # A second block inside a crowded group: that block is turned to stand right behind the first.
-    calm = tagged.filter(F.col("crowded").isNull()).select("turn", F.lit(width).alias("lead"), "val", F.xxhash64("turn", "head").alias("key"))
-    rest_mask = (1 << (_BITS - width)) - 1
-    rest = F.col("val").bitwiseAND(F.lit(rest_mask))
-    parts = []
-    for j in range(budget + 1):
-        value = F.shiftrightunsigned(rest, _BITS - width - (j + 1) * sub).bitwiseAND(F.lit((1 << sub) - 1))
-        parts.append(F.struct(F.lit(j).alias("j"), value.alias("value")))
-    dense = tagged.filter("crowded").select("turn", "val", "head", F.explode(F.array(*parts)).alias("s"))
-    # Inside a task, members of a divided group are told apart by their lead code: width + 1 + j.
-    dense = dense.select("turn", (F.lit(width + 1) + F.col("s.j")).alias("lead"), "val", F.xxhash64("turn", "head", "s.j", "s.value").alias("key"))
-    both = calm.unionByName(dense)
+    rows = fps.select(F.explode(F.array(*[F.struct(F.lit(i * leads[0]).alias("turn"), F.lit(0).cast("long").alias("path"), turned(x, i * leads[0]).alias("val")) for i in range(budget + 1)])).alias("b")).select("b.*")
+    done = None
+    for level, lead in enumerate(leads):
+        grouped = rows.withColumn("head", F.shiftrightunsigned("val", _BITS - lead))
+        keyed = grouped.withColumn("key", F.xxhash64("turn", "path", "head"))
+        crowded = grouped.groupBy("turn", "path", "head").count().filter(F.col("count") > hot).select("turn", "path", "head", F.lit(True).alias("crowded"))
+        last = level == len(leads) - 1 or crowded.isEmpty()
+        calm = keyed if last else keyed.join(crowded, ["turn", "path", "head"], "left_anti")
+        calm = calm.select("turn", "path", "val", "key")
+        done = calm if done is None else done.unionByName(calm)
+        if last:
+            break
+        rest_bits, block = _BITS - lead, leads[level + 1] - lead
+        mask = (1 << rest_bits) - 1
+        rest = F.col("val").bitwiseAND(F.lit(mask))
+        parts = []
+        for j in range(budget + 1):
+            by = j * block
+            moved = rest if by == 0 else F.shiftleft(rest, by).bitwiseOR(F.shiftrightunsigned(rest, rest_bits - by)).bitwiseAND(F.lit(mask))
+            parts.append(F.struct("turn", (F.col("path") * base + j + 1).alias("path"), F.col("val").bitwiseAND(F.lit(~mask)).bitwiseOR(moved).alias("val")))
+        dense = grouped.join(crowded, ["turn", "path", "head"], "left_semi")
+        rows = common.materialize(dense.select(F.explode(F.array(*parts)).alias("b")).select("b.*"), "dense")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        return _split_links(batches, width, sub, budget)
+        return _group_links(batches, leads, budget)
 
-    return both.repartition(n, "key").sortWithinPartitions("turn", "lead", "val").mapInArrow(run, "u long, v long")
+    return done.repartition(n, "key").sortWithinPartitions("turn", "path", "val").mapInArrow(run, "u long, v long")
 
 
-def _split_links(batches, width: int, sub: int, budget: int):
-    """Undivided groups run as they are; a divided group's rows are re-turned so that both of its
-    shared blocks lead, which keeps the trie walk the same."""
+def _digits(path: int, base: int) -> list[int]:
+    out = []
+    while path:
+        path, d = divmod(path, base)
+        out.append(d - 1)
+    return out[::-1]
 
-    def rows():
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            turn, lead, val = (np.array(b.column(i)) for i in range(3))
-            val = val.view(np.uint64).copy()
-            code = lead - width - 1
-            for j in range(budget + 1):
-                if (pick := code == j).any():
-                    v = val[pick]
-                    rest_bits = _BITS - width
-                    head, rest = v >> np.uint64(rest_bits), v & np.uint64((1 << rest_bits) - 1)
-                    by = j * sub
-                    mask = np.uint64((1 << rest_bits) - 1)
-                    rest = ((rest << np.uint64(by)) | (rest >> np.uint64(rest_bits - by))) & mask if by else rest
-                    val[pick] = (head << np.uint64(rest_bits)) | rest
-            yield pa.RecordBatch.from_arrays([pa.array(turn), pa.array(lead), pa.array(val.view(np.int64))], names=["turn", "lead", "val"])
-
-    def back(turn: int, code: int, v: np.ndarray) -> np.ndarray:
-        if code > width:
-            rest_bits, by = _BITS - width, (code - width - 1) * sub
-            head, rest = v >> np.uint64(rest_bits), v & np.uint64((1 << rest_bits) - 1)
+
+def _group_links(batches, leads: list[int], budget: int):
+    """Links of the groups of a task, whose rows come in the order of (turn, path, val)."""
+
+    def back(turn: int, digits: list[int], v: np.ndarray) -> np.ndarray:
+        for level in range(len(digits) - 1, -1, -1):
+            rest_bits, by = _BITS - leads[level], digits[level] * (leads[level + 1] - leads[level])
             mask = np.uint64((1 << rest_bits) - 1)
+            rest = v & mask
             rest = ((rest >> np.uint64(by)) | (rest << np.uint64(rest_bits - by))) & mask if by else rest
-            v = (head << np.uint64(rest_bits)) | rest
+            v = (v & ~mask) | rest
         return _rotl(v, _BITS - turn)
 
-    def work(key, v):
-        turn, code = key
-        v = np.unique(v)
-        member, root = trie_links(v, width if code <= width else width + sub, budget)
+    def work(turn: int, path: int, v: np.ndarray):
+        v, digits = np.unique(v), _digits(path, budget + 2)
+        member, root = trie_links(v, leads[len(digits)], budget)
         if len(member):
-            a, b = (back(turn, code, v[x]).view(np.int64) for x in (member, root))
+            a, b = (back(turn, digits, v[x]).view(np.int64) for x in (member, root))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
 
-    held: dict[tuple[int, int], list[np.ndarray]] = {}
-    for b in rows():
-        turn, code, val = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        tags = turn.astype(np.int64) * 128 + code
-        cut = np.concatenate(([0], np.flatnonzero(tags[1:] != tags[:-1]) + 1, [len(tags)]))
+    kind, held, size = None, [], 0
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        turn, path, val = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        cut = np.concatenate(([0], np.flatnonzero((turn[1:] != turn[:-1]) | (path[1:] != path[:-1])) + 1, [len(turn)]))
         for s, e in zip(cut[:-1], cut[1:], strict=True):
-            held.setdefault((int(turn[s]), int(code[s])), []).append(val[s:e].view(np.uint64))
-        for key in list(held):
-            if key[1] <= width and sum(map(len, held[key])) > _FLUSH:  # groups arrive one after another: all but the last are whole
-                v = np.concatenate(held.pop(key))
-                heads = v >> np.uint64(_BITS - width)
+            own = (int(turn[s]), int(path[s]))
+            if own != kind and held:
+                yield from work(*kind, np.concatenate(held))
+                held, size = [], 0
+            kind = own
+            held.append(val[s:e].view(np.uint64))
+            size += e - s
+            if size > _FLUSH:  # groups arrive one after another: all but the last are whole
+                v = np.concatenate(held)
+                heads = v >> np.uint64(_BITS - leads[len(_digits(kind[1], budget + 2))])
                 other = np.flatnonzero(heads != heads[-1])
                 at = int(other[-1]) + 1 if len(other) else 0
-                yield from work(key, v[:at])
-                held[key] = [v[at:]]
-    for key, v in held.items():
-        yield from work(key, np.concatenate(v))
+                if at:
+                    yield from work(*kind, v[:at])
+                held, size = [v[at:]], len(v) - at
+    if held:
+        yield from work(*kind, np.concatenate(held))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): every node of ``edges`` (u, v) but each component's smallest, with that smallest."""
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     common.shared_dir(edges.sparkSession)
-    edges, mark = edges.checkpoint(), None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if state == mark or not state[0]:
-            return edges
-        mark = state
+    edges = edges.checkpoint()
+    size = edges.count()
+    while size:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e"))
-        edges = pairs.select("e.*").filter("u <> v").distinct().checkpoint()
+        new = pairs.select("e.*").filter("u <> v").distinct().checkpoint()
+        now = new.count()
+        if now == size and new.join(edges, ["u", "v"], "left_anti").isEmpty():
+            break
+        edges, size = new, now
+    return edges
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
@@ -291,8 +307,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     Null or blank text: fingerprint 0, linked like any other.  Rows that share a doc_id each get
     a row.  component_id is the smallest non-null doc_id reachable; null where all are null.
     """
+    common.prepare(docs.sparkSession)
     fps = common.materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = common.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     star = components(links(nodes.select("fp"), budget)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = nodes.join(star, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
