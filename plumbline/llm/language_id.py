@@ -3,8 +3,8 @@
 A text's UTF-8 bytes are cut into windows of fixed length.  In each window, filters of several
 widths slide over byte embeddings; the rectified maximum of every filter feeds a softmax over the
 learned languages.  A text's probabilities are the mean of its windows', weighted by their bytes:
-every byte of every text is read.  Training (Adam, on the driver) takes windows of a bounded sample
-of labelled documents; the bound is ``SAMPLE_DOCS`` x ``SAMPLE_WINDOWS`` windows.
+every byte of every text is read.  Training (Adam, on the driver) takes a bounded sample of labelled
+windows, at most ``SAMPLE_WINDOWS``, drawn by hash from all distinct windows of all labelled texts.
 
 For scoring, embedding and filters are multiplied out: a filter's response is a sum of table rows
 indexed by byte pairs, so a batch is a few numpy gathers of a bounded size.
@@ -28,8 +28,8 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 DIM = 8
-SAMPLE_DOCS = 4000
-SAMPLE_WINDOWS = 4
+#: Most labelled windows that the network is trained on.
+SAMPLE_WINDOWS = 16_000
 EPOCHS = 4
 HELD_OUT = (4, 2)
 UNDETERMINED = "und"
@@ -155,18 +155,25 @@ def cut_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return x, owner, np.minimum(sizes[owner] - place * WINDOW, WINDOW).astype(np.float64)
 
 
-def fit(docs: DataFrame, most: int = SAMPLE_DOCS) -> ByteCnn | None:
-    """Train on at most about ``most`` labelled documents that are not held out; None without any.
-
-    Inputs are windows of the text alone; ``lang`` is the label only."""
+def labelled_windows(docs: DataFrame) -> DataFrame:
+    """(lang, piece): every window of every labelled text that is not held out, cut as for scoring."""
     mod, out = HELD_OUT
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc % mod != out))
-    sample = common.hash_sample(known, most)
-    n = F.length("text")
-    pieces = [F.substring("text", (n * i / SAMPLE_WINDOWS).cast("int") + 1, F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)]
-    rows = sorted((r[0], r[1]) for r in sample.select("lang", F.explode(F.array_distinct(F.array(*pieces))).alias("t")).collect())
-    rows = [(lang, t.encode()[:WINDOW]) for lang, t in rows if _LETTER(t)]
+    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (crc % mod != out))
+    count = F.ceil(F.octet_length("text") / WINDOW).cast("int")
+    piece = lambda i: F.substring(F.col("text").cast("binary"), i * WINDOW + 1, F.lit(WINDOW))
+    return known.select("lang", F.explode(F.transform(F.sequence(F.lit(0), count - 1), piece)).alias("piece"))
+
+
+def fit(docs: DataFrame, most: int = SAMPLE_WINDOWS) -> ByteCnn | None:
+    """Train on at most ``most`` windows of labelled texts that are not held out; None without any.
+
+    Inputs are windows of the text alone; ``lang`` is the label only.  A window without a letter
+    teaches nothing."""
+    common.prepare(docs.sparkSession)
+    sample = common.hash_sample(labelled_windows(docs), most)
+    rows = sorted((r[0], bytes(r[1])) for r in sample.collect())
+    rows = [(lang, t) for lang, t in rows if _LETTER(t.decode("utf-8", "ignore"))]
     if not rows:
         return None
     langs = sorted({r[0] for r in rows})

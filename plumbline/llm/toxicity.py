@@ -1,8 +1,9 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier.
 
-Voters.  A lexicon of words and word beginnings is mined from the labelled documents that are not
-held out (document frequencies by class, counted in Spark): every entry is a voter, and fixed patterns are more voters.  A
-voter fires or not on a text.
+Voters.  A lexicon of words and word beginnings is mined from a bounded sample of the labelled documents
+that are not held out (``LABELLED_DOCS``; document frequencies by class, counted in Spark): every entry
+is a voter, and fixed patterns are more voters.  A voter fires or not on a text.  An entry is in
+``MIN_SHARE`` of the sample's toxic documents at least: a rarer kind of toxicity has no voters of its own.
 Label model.  One pass over all documents that are not held out gathers the voters' first and second
 moments (a matrix of voters x voters, whatever the input's size).  Under conditional independence
 the covariance of two voters is the product of their separations times the class variance, so
@@ -65,12 +66,10 @@ def features(text: bytes | None) -> set[bytes]:
     counts: dict[bytes, int] = {}
     for w, c in Counter(words).items():
         counts[w] = counts.get(w, 0) + c
-        t = w.decode()
-        n = len(t)
-        if n <= 40:
-            for k in range(3, min(9, n)):
-                stem = (t[:k] + "*").encode()
-                counts[stem] = counts.get(stem, 0) + c
+        t = w[:36].decode("utf-8", "ignore")  # nine characters of up to four bytes
+        for k in range(3, min(9, len(t))):
+            stem = (t[:k] + "*").encode()
+            counts[stem] = counts.get(stem, 0) + c
     return counts.keys() | {w + b"+" for w, c in counts.items() if c > 1 and _dense(c, len(words))}
 
 
@@ -239,11 +238,15 @@ def mine(labelled: DataFrame, most: int = FEATURES, min_docs: int = MIN_DOCS) ->
     return [(bytes(r[0]), float(r[1])) for r in lean.orderBy(F.desc("z"), "word").limit(most).select("word", "z").collect()]
 
 
-def lexicon_of(mined: list[tuple[bytes, float]], n_docs: int, size: int = LEXICON) -> list[bytes]:
-    """The strongest features, without those that repeat a chosen beginning or are its own beginning.
+def _bar(n_docs: int) -> float:
+    """A surplus that chance hardly gives to any feature of so many documents, each of which brings
+    some 1,500 features."""
+    return 1.2 * math.sqrt(2 * math.log(1500 * max(n_docs, 2)))
+
 
-    The bar rises with the number of features that were tried, of which a document brings some 1,500."""
-    bar = 1.2 * math.sqrt(2 * math.log(1500 * max(n_docs, 2)))
+def lexicon_of(mined: list[tuple[bytes, float]], n_docs: int, size: int = LEXICON) -> list[bytes]:
+    """The strongest features, without those that repeat a chosen beginning or are its own beginning."""
+    bar = _bar(n_docs)
     out: list[bytes] = []
     for w, z in mined:
         stem = w.rstrip(b"*+")
@@ -335,7 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Linear, LabelModel | None,
     common.prepare(docs.sparkSession)
     seen = docs.select("doc_id", "text").filter(_crc() % mod != out)
     marks = labels.select(F.col("doc_id").alias("__pl_id"), "toxic").filter(F.col("toxic").isNotNull() & (_crc("__pl_id") % mod != out))
-    marks = common.hash_sample(marks, LABELLED_DOCS, "__pl_id").groupBy("__pl_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
+    marks = common.hash_sample(marks.groupBy("__pl_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic")), LABELLED_DOCS)
     labelled = common.materialize(seen.join(marks, F.col("doc_id") == F.col("__pl_id")).select("text", "toxic"), "labelled")
     distinct = common.materialize(without_copies(labelled), "mined")
     mined = mine(distinct)
