@@ -25,7 +25,7 @@ from . import common
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper")
 
 
 @dataclass(frozen=True)
@@ -44,15 +44,21 @@ _LOWER, _UPPER, _DIGIT = frozenset("abcdefghijklmnopqrstuvwxyz"), frozenset("ABC
 CLASSES = (
     CharClass("entropy_hex", re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{20,}(?![0-9A-Za-z])"), 20, 3.0, (_DIGIT, frozenset("abcdefABCDEF"))),
     CharClass("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 3.9, (_LOWER, _UPPER, _DIGIT)),
+    CharClass("entropy_lower", re.compile(r"(?<![A-Za-z0-9])[a-z0-9]{24,}(?![A-Za-z0-9])"), 24, 3.7, (_LOWER, _DIGIT)),
+    CharClass("entropy_upper", re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{24,}(?![A-Za-z0-9])"), 24, 3.7, (_UPPER, _DIGIT)),
 )
 
-#: Candidates that are no secrets: placeholders, UUIDs, paths and identifiers made of plain words, alphabets.
+#: Candidates that as a whole are no secrets: UUIDs, paths and identifiers made of plain words.
 ALLOW = (
-    re.compile(r"(?i)example|sample|placeholder|dummy|changeme|x{6}|0{8}"),
     re.compile(r"(?i)\A[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z"),
     re.compile(r"\A[/_=-]*(?:[A-Za-z]+|[0-9]+)(?:[/_=+-]+(?:[A-Za-z]+|[0-9]+))*[/_=+-]*\Z"),
-    re.compile(r"(?i)abcdefgh|0123456789|qwertyui"),
 )
+#: Placeholders and alphabets: the letters and digits around one are no secret, nor is a span that
+#: follows one with one or two other characters between.
+_PLACEHOLDER = "example|sample|placeholder|dummy|changeme|x{6}|0{8}|abcdefgh|0123456789|qwertyui"
+ALLOW_PART = re.compile(rf"(?i)[a-z0-9]*(?:{_PLACEHOLDER})[a-z0-9]*")
+ALLOW_BEFORE = re.compile(rf"(?i)(?:{_PLACEHOLDER})[^a-z0-9]{{1,2}}\Z")
+_LOOK_BACK = len("placeholder") + 2
 
 _CLOG = [0.0, *[c * math.log2(c) for c in range(1, 257)]]
 
@@ -105,19 +111,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans); the method's spans that lie inside one base span are that one's."""
+    """(base spans, all spans); the method's spans inside a base span, or one of an earlier class, are
+    that one's.  An empty text has none."""
     base = base_spans(text)
-    more = []
+    more: list[tuple[int, int, int]] = []
     for cls in CLASSES:
-        number = KINDS.index(cls.kind)
+        number, held = KINDS.index(cls.kind), base + more
         for m in cls.candidates.finditer(text):
             if not allowed(m[0]):
-                at = m.start()
-                more += [(at + s, number, at + e) for s, e in entropy_windows(m[0], cls.window, cls.bits, cls.mixed)]
-    more = [x for x in more if not any(s <= x[0] and x[2] <= e for s, _, e in base)]
+                spans = [(m.start() + s, number, m.start() + e) for s, e in _windows(m[0], cls) if s or not ALLOW_BEFORE.search(text, max(0, m.start() - _LOOK_BACK), m.start())]
+                more += [x for x in spans if not any(s <= x[0] and x[2] <= e for s, _, e in held)]
     return base, sorted(base + more)
 
 
+def _windows(candidate: str, cls: CharClass) -> Iterator[tuple[int, int]]:
+    """Spans of a candidate, of its parts between placeholders where it holds any."""
+    at = 0
+    for m in [*ALLOW_PART.finditer(candidate), None]:
+        end = m.start() if m else len(candidate)
+        yield from ((at + s, at + e) for s, e in entropy_windows(candidate[at:end], cls.window, cls.bits, cls.mixed))
+        at = m.end() if m else end
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -126,6 +141,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): arrays of (start, end, kind, value) in code points, for every row.
 
     Null and empty texts have empty arrays."""
+    common.prepare(docs.sparkSession)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string())]))
 
@@ -144,7 +160,8 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns of op 1."""
+    """The contract's columns of op 1, for every row; null and empty texts have no spans."""
+    common.prepare(docs.sparkSession)
 
     def run(batches):
         for b in batches:
