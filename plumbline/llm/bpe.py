@@ -32,7 +32,8 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 _PATTERN = rf" ?\p{{L}}+| ?\p{{N}}+|'(?:[stmd]|re|ve|ll)| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 _ASCII = r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 MAX_FILE = 64 << 20
-_KEPT_WORDS = 300_000
+#: Finished words that a worker keeps, and their bytes with what they became.
+_KEPT_WORDS, _KEPT_BYTES = 300_000, 96 << 20
 _GROUP_CHARS = 2 << 20
 _NEVER = np.int64(1 << 40)
 
@@ -108,6 +109,7 @@ class Codec:
             if len(s) > 3:
                 self.longest[s[:4]] = max(self.longest.get(s[:4], 0), len(s))
         self.done: dict[str, tuple[bytes, bytes]] = {}
+        self.held = 0
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest-match from the left."""
@@ -230,7 +232,8 @@ class Codec:
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
             for w, ids in zip(part, self.encode_words(part), strict=True):
-                self.done[w] = (b",".join([self.decimal[i] for i in ids]), self.decode(ids))
+                self.done[w] = made = (b",".join([self.decimal[i] for i in ids]), self.decode(ids))
+                self.held += 200 + len(w) + len(made[0]) + len(made[1])
 
     def decode(self, ids) -> bytes:
         pieces = self.pieces
@@ -252,9 +255,9 @@ class Codec:
             cut = [[p if p in self.special else self.words(p) for p in self._pieces(t)] for t in texts[at:to]]
             seen = {w for pieces in cut for p in pieces if not isinstance(p, str) for w in p}
             new = seen.difference(self.done)
-            if len(self.done) + len(new) > _KEPT_WORDS:
+            if len(self.done) + len(new) > _KEPT_WORDS or self.held > _KEPT_BYTES:
                 self.done.clear()
-                new = seen
+                self.held, new = 0, seen
             self._finish(list(new))
             for pieces in cut:
                 done = []
@@ -317,6 +320,7 @@ def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def decode_ids(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) of (doc_id, ids); bytes that are no UTF-8 become U+FFFD; null ids: null."""
+    common.prepare(tokens.sparkSession)
     file = _broadcast(tokens.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

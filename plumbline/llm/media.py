@@ -395,6 +395,8 @@ def media_columns(files: DataFrame) -> DataFrame:
 
     All images of each value, one below the other; null or unreadable media give nulls."""
 
+    common.prepare(files.sparkSession)
+
     def row(images):
         if not images:
             return (None,) * 6
@@ -413,24 +415,14 @@ def media_columns(files: DataFrame) -> DataFrame:
     return files.select("doc_id", F.col("media").cast("binary")).mapInArrow(run, T.StructType(fields))
 
 
-def _groups(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
-    at, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or b"") + UNIT
-        if held >= _BATCH:
-            yield at, i + 1
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def store_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, media): each whole text's payload as JPEG bytes; null texts are stored as empty ones."""
+    common.prepare(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             texts = common.as_bytes(b.column(1))
-            for s, e in _groups(texts):
+            for s, e in common.byte_groups(texts, _BATCH):
                 yield pa.RecordBatch.from_arrays([b.column(0)[s:e], pa.array(store([pad(t) for t in texts[s:e]]), pa.binary())], names=["doc_id", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("media", T.BinaryType())]))
@@ -440,6 +432,8 @@ def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns of op 10: payloads are stored, and everything but ``n_bytes`` is
     computed from the stored bytes as they are read back; the feature is that of all images of a value."""
 
+    common.prepare(docs.sparkSession)
+
     def rows_of(texts):
         stored = store([pad(t) for t in texts])
         for t, media, got in zip(texts, stored, load(stored), strict=True):
@@ -453,7 +447,7 @@ def digest(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = common.as_bytes(b.column(1))
-            for s, e in _groups(texts):
+            for s, e in common.byte_groups(texts, _BATCH):
                 rows = list(rows_of(texts[s:e]))
                 yield pa.RecordBatch.from_arrays([b.column(0)[s:e], *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=["doc_id", *names])
 
