@@ -46,3 +46,16 @@ def spread_meta(row: Column, meta: Column) -> Column:
     """String maps merged; the renderer's keys win."""
     kept = F.map_filter(row, lambda k, _: ~F.map_contains_key(meta, k))
     return F.map_concat(kept, meta)
+
+
+def ranked(names: Column, values: Column, ascending: bool = False) -> Column:
+    """(name, value) pairs in the order of their values, the largest first unless ``ascending``; equal
+    values keep their places."""
+    n = F.size(names)
+    keyed = F.transform(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x, i: F.struct((x["v"] if ascending else -x["v"]).alias("k"), i.alias("i"), x["n"].alias("name"), x["v"].alias("value")))
+    return F.when(n > 0, F.transform(F.array_sort(keyed), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))).otherwise(F.array().cast("array<struct<name:string,value:double>>"))
+
+
+def by_span(names: Column, low: Column, high: Column) -> Column:
+    """Names in the order of a tornado chart: the widest bar of both sides first."""
+    return F.transform(ranked(names, F.zip_with(low, high, lambda a, b: F.abs(a) + F.abs(b))), lambda x: x["name"])

@@ -32,9 +32,29 @@ def suffix(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.[^./]+$", 0))
 
 
+def joined(root: Column, *parts: Column) -> Column:
+    """A path below ``root``; an absolute part starts anew, as path libraries have it."""
+    out = root
+    for part in parts:
+        out = F.when(part.startswith("/"), part).otherwise(F.concat(out, F.lit("/"), part))
+    return out
+
+
+def normalized(path: Column) -> Column:
+    """An absolute path without empty, ``.`` and ``..`` segments; ``..`` above the top is dropped."""
+    start = F.array().cast("array<string>")
+
+    def step(a, s):
+        up = F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+        return F.when(s.isin("", "."), a).when(s == "..", up).otherwise(F.array_append(a, s))
+
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), start, step), "/"))
+
+
 def within(path: Column, root: Column) -> Column:
-    """Whether a normalised path is the root or below it."""
-    return (path == root) | path.startswith(F.concat(root, F.lit("/")))
+    """Whether an absolute path, normalised, is the root or below it."""
+    p, r = normalized(path), normalized(root)
+    return (p == r) | (r == "/") | p.startswith(F.concat(r, F.lit("/")))
 
 
 def format_number(value: Column, decimals: int, locale: str) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from plumbline.functions import taxonomy as tax
 
 BOOTSTRAP_REPS = 2000
-MOST_DRAWS = 2_000_000_000
 ALPHA = 0.05
 SMOOTH = 0.5
 CLIP = 1e-12
@@ -69,12 +68,13 @@ def draw_index(rep: Column, draw: Column, n: Column) -> Column:
     return h % n
 
 
-def bootstrap(runs: DataFrame, macro: bool = False, reps: int = BOOTSTRAP_REPS, alpha: float = ALPHA, most_draws: int = MOST_DRAWS) -> DataFrame:
+def bootstrap(runs: DataFrame, macro: bool = False, reps: int = BOOTSTRAP_REPS, alpha: float = ALPHA) -> DataFrame:
     """(lo, hi, reps): percentile interval of accuracy over files resampled with replacement.
 
-    Files are first reduced to sufficient statistics; draws are rows made on the executors, joined to
-    them by number and summed by replicate.  The draws are the same at every size: beyond ``most_draws``
-    they are only joined as they are, since counting them by file first hardly makes them fewer."""
+    Files are first reduced to sufficient statistics, one row a file (and label); draws are rows made
+    on the executors, joined to the statistics by number and summed by replicate, at any size: the
+    statistics are broadcast where they are small, and draws are combined in the tasks before the
+    shuffle."""
     stats = runs.groupBy("file", "true").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ok").cast("long")).alias("k"))
     files = dense_index(runs.select("file").distinct())
     n = files.count()
@@ -84,13 +84,12 @@ def bootstrap(runs: DataFrame, macro: bool = False, reps: int = BOOTSTRAP_REPS,
         draws = spark.range(reps * n).select(rep.alias("rep"), draw_index(rep, F.col("id") % n, F.lit(n)).alias("idx"))
     else:
         draws = spark.range(0).select(F.col("id").alias("rep"), F.col("id").alias("idx"))
-    times = draws.withColumn("m", F.lit(1)) if n * reps > most_draws else draws.groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("m"))
-    picked = times.join(files, "idx").join(stats, "file")
-    share = F.sum(F.col("m") * F.col("k")) / F.sum(F.col("m") * F.col("n"))
-    if macro:
-        stat = picked.filter(F.col("true").isNotNull()).groupBy("rep", "true").agg(share.alias("a")).groupBy("rep").agg(F.avg("a").alias("a"))
-    else:
-        stat = picked.groupBy("rep").agg(share.alias("a"))
+    numbered = stats.join(files, "file").select("idx", "true", "n", "k")
+    if not macro:
+        numbered = numbered.groupBy("idx").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    picked = draws.join(numbered.filter(F.col("true").isNotNull()) if macro else numbered, "idx")
+    share = (F.sum("k") / F.sum("n")).alias("a")
+    stat = picked.groupBy("rep", "true").agg(share).groupBy("rep").agg(F.avg("a").alias("a")) if macro else picked.groupBy("rep").agg(share)
     return stat.agg(F.round(F.percentile("a", F.lit(alpha / 2)), 6).alias("lo"), F.round(F.percentile("a", F.lit(1 - alpha / 2)), 6).alias("hi"), F.count(F.lit(1)).alias("reps"))
 
 
@@ -229,6 +228,11 @@ def validate(raw: DataFrame) -> DataFrame:
     return unknown.unionByName(failed).unionByName(repeats).filter("n > 0")
 
 
+def worst_classes(runs: DataFrame) -> DataFrame:
+    """``per_class``, the lowest recall first (ties by label)."""
+    return per_class(runs).orderBy("recall", "label")
+
+
 def prf_long(runs: DataFrame) -> DataFrame:
     """(label, metric, value): the melted frame behind the grouped bars."""
     return per_class(runs).unpivot(["label"], ["precision", "recall", "f1"], "metric", "value")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import taxonomy as tax
 from plumbline.operators import bench as B
 from plumbline.plans.adapters import PROBS, probs, table
-from plumbline.plans.registry import query
+from plumbline.plans.named import query
 
 W = "WITH " + PROBS
 GROUPS = [["bar", "bar_grouped", "bar_stacked"], ["line", "combo_bar_line"]]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import draws, layout, text, vocab
 from plumbline.operators import figures, manifest
 from plumbline.plans.adapters import INDEX, index, table
-from plumbline.plans.registry import query
+from plumbline.plans.named import query
 
 _P = "CAST(p_partkey AS VARCHAR)"
 
@@ -46,6 +46,18 @@ def minmax(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(layout.normalize(v), lambda x: F.round(x, 6)).alias("v"))
 
 
+_NAMES = [f"c{i}" for i in range(1, 7)]
+_V6 = "v AS (SELECT vec_id, unnest(range(1, 7)) AS i, CAST(unnest(embedding[1:6]) AS DOUBLE) AS v, CAST(unnest(embedding[7:12]) AS DOUBLE) AS w FROM embeddings)"
+
+
+@query("synth_ranked_bars", f"WITH {_V6} SELECT vec_id, list('c' || i ORDER BY v DESC, i) AS ranked, list('c' || i ORDER BY v, i) AS rising, list('c' || i ORDER BY abs(v) + abs(w) DESC, i) AS tornado FROM v GROUP BY vec_id")
+def ranked_bars(spark, sf_dir):
+    part = lambda at: F.transform(F.slice("embedding", at, 6), lambda x: x.cast("double"))
+    names = F.array(*map(F.lit, _NAMES))
+    name = lambda pairs: F.transform(pairs, lambda x: x["name"])
+    return table(spark, sf_dir, "embeddings").select("vec_id", name(layout.ranked(names, part(1))).alias("ranked"), name(layout.ranked(names, part(1), True)).alias("rising"), layout.by_span(names, part(1), part(7)).alias("tornado"))
+
+
 @query("text_url_filename", "SELECT page_id, list_last(string_split(regexp_extract(url, '^[^?#]*'), '/')) AS name FROM pages")
 def url_filename(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.url_filename(F.col("url")).alias("name"))
@@ -63,11 +75,30 @@ def caption(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.caption(F.concat_ws(" ", "p_name", "p_type", "p_brand"), 24).alias("caption"))
 
 
-@query("text_wrap")
+#: Word by word: a line is closed where the next word does not fit.
+_WRAP = """WITH RECURSIVE w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM benchmark),
+f(item_id, ws, i, done, line) AS (
+  SELECT item_id, ws, 1, CAST([] AS VARCHAR[]), '' FROM w
+  UNION ALL
+  SELECT item_id, ws, i + 1, CASE WHEN line = '' OR length(line) + 1 + length(ws[i]) <= 40 THEN done ELSE list_append(done, line) END,
+    CASE WHEN line = '' THEN ws[i] WHEN length(line) + 1 + length(ws[i]) <= 40 THEN line || ' ' || ws[i] ELSE ws[i] END
+  FROM f WHERE i <= len(ws))
+SELECT item_id, CASE WHEN line = '' THEN done ELSE list_append(done, line) END AS lines FROM f WHERE i = len(ws) + 1"""
+
+
+@query("text_wrap", _WRAP)
 def wrap(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", layout.wrap(F.col("text"), 40).alias("lines"))
 
 
+@query("label_api_images", "WITH " + INDEX + " SELECT label AS folder, path AS file, doc_id % 3 <> 0 AS in_manifest, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 97 END AS page, CASE WHEN doc_id % 3 <> 0 THEN 'icon' END AS raw_label, CAST(NULL AS VARCHAR) AS manual_root FROM idx")
+def api_images(spark, sf_dir):
+    i = index(spark, sf_dir)
+    records = i.filter("doc_id % 3 <> 0").select(F.col("path").alias("filename"), (F.col("doc_id") % 97).alias("page"), F.lit("icon").alias("raw_label"))
+    shown = manifest.image_meta(i.select(F.col("path").alias("filename"), F.col("label").alias("folder")), records)
+    return shown.select("folder", "file", "meta.in_manifest", "meta.page", "meta.raw_label", "meta.manual_root")
+
+
 @query("label_api_folders", "WITH " + INDEX + " SELECT label AS folder, count(*) AS images, count(*) FILTER (doc_id % 3 <> 0) AS with_record FROM idx GROUP BY 1")
 def api_folders(spark, sf_dir):
     i = index(spark, sf_dir)

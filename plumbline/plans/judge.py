@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import taxonomy as tax
 from plumbline.operators import judge as J
 from plumbline.plans.adapters import RUNS, runs, table
-from plumbline.plans.registry import query
+from plumbline.plans.named import query
 
 W = "WITH " + RUNS
 

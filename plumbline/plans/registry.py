@@ -1,21 +1,8 @@
-"""Named queries of the library and the SQL that states each one's result."""
+"""All named queries: importing this module registers them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from plumbline.plans import bench, extras, judge, kernels, route, split, synth  # noqa: F401
+from plumbline.plans.named import ORACLES, QUERIES
 
-
-def query(name: str, sql: str | None = None):
-    """Register ``f(spark, sf_dir)`` as ``name``, with its SQL where SQL can state it."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-from plumbline.plans import bench, extras, judge, kernels, route, split, synth  # noqa: E402, F401
+__all__ = ["ORACLES", "QUERIES"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text
 from plumbline.operators import route as R
 from plumbline.plans.adapters import CROPS, crops, table
-from plumbline.plans.registry import query
+from plumbline.plans.named import query
 
 _RAW = list(R.RAW_TO_CLASS)
 W = "WITH " + CROPS + ",\nraw(raw_id, raw_label, cls) AS (VALUES " + ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(R.RAW_TO_CLASS.items())) + "),\nc AS (SELECT crops.*, raw_label, cls FROM crops JOIN raw USING (raw_id))"

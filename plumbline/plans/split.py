@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import manifest as M
 from plumbline.operators import split as S
 from plumbline.plans.adapters import INDEX, index, table
-from plumbline.plans.registry import query
+from plumbline.plans.named import query
 
 CAP = 40
 W = "WITH " + INDEX
@@ -105,8 +106,11 @@ def early_stop(spark, sf_dir):
 
 @query("manifest_last_wins", "SELECT CAST(user_id AS VARCHAR) || '.png' AS filename, arg_max(event_type, event_id) AS label, arg_max(value, event_id) AS score FROM events GROUP BY 1")
 def manifest_last_wins(spark, sf_dir):
+    """Two appends of the events, the later half of each user's last: an append wins over what was there."""
     e = table(spark, sf_dir, "events")
-    return M.last_wins(e.select(F.col("event_id").alias("ord"), F.concat(F.col("user_id").cast("string"), F.lit(".png")).alias("filename"), F.col("event_type").alias("label"), F.col("value").alias("score")))
+    late = F.col("event_id") % 2 == F.max("event_id").over(Window.partitionBy("user_id")) % 2
+    ordinal = F.struct(F.when(late, 1).otherwise(0).alias("append"), F.col("event_id").alias("line"))
+    return M.last_wins(e.select(ordinal.alias("ord"), F.concat(F.col("user_id").cast("string"), F.lit(".png")).alias("filename"), F.col("event_type").alias("label"), F.col("value").alias("score")))
 
 
 def _images(spark, sf_dir):
@@ -133,44 +137,67 @@ def manifest_pairing_status(spark, sf_dir):
     return M.pairing_status(folders, _images(spark, sf_dir), _manifest(spark, sf_dir))
 
 
+#: Folders of some moves: escapes, and names that JSON or a replacement pattern must quote.
+_ODD = {14: "../x", 22: "/abs", 26: "c$1", 34: 'q"z', 38: "a..b", 46: "./back\\slash", 58: "map/../odd"}
+_ODD_SQL = "CASE " + " ".join(f"WHEN doc_id % {k} = 0 THEN '{v}'" for k, v in _ODD.items())
+#: One file name in nine holds two dots.
+_FILE = "CASE WHEN doc_id % 9 = 4 THEN 'a..b' || path ELSE path END"
+
+
+def _file():
+    return F.when(F.col("doc_id") % 9 == 4, F.concat(F.lit("a..b"), "path")).otherwise(F.col("path"))
+
+
+def _files(spark, sf_dir):
+    return index(spark, sf_dir).select(_file().alias("file"), F.col("label").alias("folder"))
+
+
 def _moves(spark, sf_dir):
     """Two moves a file at most: by label to the next label's folder, some of them idle or wrong."""
     from plumbline.functions import taxonomy as tax
 
     i = index(spark, sf_dir).join(F.broadcast(tax.dimension(spark)), "label")
     to = lambda d: tax.label_at((F.col("label_id") + d) % tax.K)
-    one = i.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("ord"), F.col("path").alias("file"), F.when(F.col("doc_id") % 10 == 0, to(3)).otherwise(F.col("label")).alias("from"), F.when(F.col("doc_id") % 14 == 0, F.lit("../x")).otherwise(to(1)).alias("to"))
-    two = i.filter("doc_id % 4 = 0").select((F.col("doc_id") + 10_000_000).alias("ord"), F.col("path").alias("file"), to(1).alias("from"), F.when(F.col("doc_id") % 12 == 0, to(1)).otherwise(to(2)).alias("to"))
+    goal = to(1)
+    for k, folder in reversed(_ODD.items()):
+        goal = F.when(F.col("doc_id") % k == 0, F.lit(folder)).otherwise(goal)
+    one = i.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("ord"), _file().alias("file"), F.when(F.col("doc_id") % 10 == 0, to(3)).otherwise(F.col("label")).alias("from"), goal.alias("to"))
+    two = i.filter("doc_id % 4 = 0").select((F.col("doc_id") + 10_000_000).alias("ord"), _file().alias("file"), to(1).alias("from"), F.when(F.col("doc_id") % 12 == 0, to(1)).otherwise(to(2)).alias("to"))
     return one.unionByName(two)
 
 
-_REPORT = """,
-m1 AS (SELECT i.doc_id AS ord, path AS file, CASE WHEN doc_id % 10 = 0 THEN t3.label ELSE i.label END AS f, CASE WHEN doc_id % 14 = 0 THEN '../x' ELSE t1.label END AS t, i.label AS home, doc_id FROM idx i JOIN tax t0 ON t0.label = i.label JOIN tax t1 ON t1.label_id = (t0.label_id + 1) % 13 JOIN tax t3 ON t3.label_id = (t0.label_id + 3) % 13 WHERE doc_id % 2 = 0),
-r1 AS (SELECT *, CASE WHEN t = '../x' THEN 'path escapes root' WHEN f <> home THEN 'source file missing' END AS reason FROM m1),
-m2 AS (SELECT i.doc_id + 10000000 AS ord, path AS file, t1.label AS f, t2.label AS t, doc_id FROM idx i JOIN tax t0 ON t0.label = i.label JOIN tax t1 ON t1.label_id = (t0.label_id + 1) % 13 JOIN tax t2 ON t2.label_id = (t0.label_id + 2) % 13 WHERE doc_id % 4 = 0 AND doc_id % 12 <> 0),
-r2 AS (SELECT m2.*, CASE WHEN r1.reason IS NOT NULL THEN 'source file missing' END AS reason FROM m2 JOIN r1 USING (doc_id)),
+_REPORT = f""",
+m1 AS (SELECT i.doc_id AS ord, {_FILE} AS file, CASE WHEN doc_id % 10 = 0 THEN t3.label ELSE i.label END AS f, {_ODD_SQL} ELSE t1.label END AS t, i.label AS home, t1.label AS next, doc_id FROM idx i JOIN tax t0 ON t0.label = i.label JOIN tax t1 ON t1.label_id = (t0.label_id + 1) % 13 JOIN tax t3 ON t3.label_id = (t0.label_id + 3) % 13 WHERE doc_id % 2 = 0),
+r1 AS (SELECT *, CASE WHEN t IN ('../x', '/abs') THEN 'path escapes root' WHEN f <> home THEN 'source file missing' END AS reason FROM m1),
+m2 AS (SELECT i.doc_id + 10000000 AS ord, {_FILE} AS file, t1.label AS f, t2.label AS t, doc_id FROM idx i JOIN tax t0 ON t0.label = i.label JOIN tax t1 ON t1.label_id = (t0.label_id + 1) % 13 JOIN tax t2 ON t2.label_id = (t0.label_id + 2) % 13 WHERE doc_id % 4 = 0 AND doc_id % 12 <> 0),
+r2 AS (SELECT m2.*, CASE WHEN r1.reason IS NOT NULL OR r1.t <> r1.next THEN 'source file missing' END AS reason FROM m2 JOIN r1 USING (doc_id)),
 rep AS (SELECT ord, file, f AS "from", t AS "to", reason IS NULL AS moved, reason FROM r1 UNION ALL SELECT ord, file, f, t, reason IS NULL, reason FROM r2)
 """
 
 
 @query("commit_moves", W + _REPORT + "SELECT * FROM rep")
 def commit_moves(spark, sf_dir):
-    files = _images(spark, sf_dir).select(F.col("filename").alias("file"), "folder")
-    return M.commit_moves(_moves(spark, sf_dir), files)
+    return M.commit_moves(_moves(spark, sf_dir), _files(spark, sf_dir))
+
+
+#: Lines of a manifest: broken ones, and some with an old ``manual_root`` in the middle.
+_OLD = '"manual_root": "o\\"ld", '
 
 
-@query("commit_patch_manifest", W + _REPORT + """, d AS (SELECT file, arg_max("to", ord) AS dst FROM rep WHERE moved GROUP BY file),
-l AS (SELECT doc_id AS ord, path, CASE WHEN doc_id % 11 = 0 THEN 'broken line' ELSE '{"filename": "' || path || '", "page": ' || (doc_id % 97) || '}' END AS value FROM idx)
-SELECT ord, CASE WHEN dst IS NOT NULL AND value <> 'broken line' THEN rtrim(value, '}') || ', "manual_root": "' || dst || '"}' ELSE value END AS value, dst IS NOT NULL AND value <> 'broken line' AS touched FROM l LEFT JOIN d ON path = file""")
+@query("commit_patch_manifest", W + _REPORT + f""", d AS (SELECT file, arg_max("to", ord) AS dst FROM rep WHERE moved GROUP BY file),
+l AS (SELECT doc_id, {_FILE} AS path, doc_id % 5 = 1 AS old FROM idx),
+v AS (SELECT doc_id AS ord, path, old, '{{"filename": "' || path || '", ' AS head, '"page": ' || (doc_id % 97) AS page FROM l),
+q AS (SELECT v.*, dst, '"manual_root": "' || replace(replace(dst, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' AS root FROM v LEFT JOIN d ON path = file)
+SELECT ord, CASE WHEN ord % 11 = 0 THEN 'broken line' WHEN dst IS NULL THEN head || CASE WHEN old THEN '{_OLD}' ELSE '' END || page || '}}' WHEN old THEN head || root || ', ' || page || '}}' ELSE head || page || ', ' || root || '}}' END AS value,
+  dst IS NOT NULL AND ord % 11 <> 0 AS touched FROM q""")
 def commit_patch_manifest(spark, sf_dir):
-    files = _images(spark, sf_dir).select(F.col("filename").alias("file"), "folder")
-    rep = M.commit_moves(_moves(spark, sf_dir), files)
-    i = index(spark, sf_dir)
-    value = F.when(F.col("doc_id") % 11 == 0, F.lit("broken line")).otherwise(F.concat(F.lit('{"filename": "'), "path", F.lit('", "page": '), (F.col("doc_id") % 97).cast("string"), F.lit("}")))
-    return M.patch_manifest(i.select(F.col("doc_id").alias("ord"), value.alias("value")), rep)
+    rep = M.commit_moves(_moves(spark, sf_dir), _files(spark, sf_dir))
+    old = F.when(F.col("doc_id") % 5 == 1, F.lit(_OLD)).otherwise("")
+    value = F.when(F.col("doc_id") % 11 == 0, F.lit("broken line")).otherwise(F.concat(F.lit('{"filename": "'), _file(), F.lit('", '), old, F.lit('"page": '), (F.col("doc_id") % 97).cast("string"), F.lit("}")))
+    return M.patch_manifest(index(spark, sf_dir).select(F.col("doc_id").alias("ord"), value.alias("value")), rep)
 
 
-@query("commit_no_record", W + _REPORT + "SELECT DISTINCT file FROM rep WHERE moved AND file NOT IN (SELECT path FROM idx WHERE doc_id % 3 <> 0 AND label <> 'map')")
+@query("commit_no_record", W + _REPORT + f"SELECT DISTINCT file FROM rep WHERE moved AND file NOT IN (SELECT {_FILE} FROM idx WHERE doc_id % 3 <> 0 AND label <> 'map')")
 def commit_no_record(spark, sf_dir):
-    files = _images(spark, sf_dir).select(F.col("filename").alias("file"), "folder")
-    return M.moved_without_record(M.commit_moves(_moves(spark, sf_dir), files), _manifest(spark, sf_dir))
+    known = index(spark, sf_dir).filter("doc_id % 3 <> 0 AND label <> 'map'").select(_file().alias("filename"))
+    return M.moved_without_record(M.commit_moves(_moves(spark, sf_dir), _files(spark, sf_dir)), known)

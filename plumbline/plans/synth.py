@@ -9,7 +9,7 @@ from plumbline.functions import taxonomy as tax
 from plumbline.operators import qa as Q
 from plumbline.operators import synth as S
 from plumbline.plans.adapters import INDEX, index, table
-from plumbline.plans.registry import query
+from plumbline.plans.named import query
 
 BASE = 7
 _DIM = "dim(label, sub_type, ord, weight) AS (VALUES " + ", ".join(f"('{a}', '{b}', {k}, {w}::DOUBLE)" for a, subs in S.SUBTYPES.items() for k, (b, w) in enumerate(subs.items())) + ")"
@@ -68,17 +68,17 @@ _FLAGS = {"connectors": "o_orderkey % 7 = 0", "line_is_reference": "q % 3 = 0",
 _ORDERS = "o AS (SELECT o_orderkey, coalesce(n, 0) AS n, CAST(coalesce(q, 0) AS BIGINT) AS q FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"
 _STRUCTS = f"WITH {tax.SQL}, {_ORDERS}, s AS (SELECT o_orderkey, label, " + ", ".join(f"{v} AS {k}" for k, v in (_STRUCT | _FLAGS).items()) + ", (q % 100) / 100.0::DOUBLE AS geometry_area_frac FROM o JOIN tax ON label_id = o_orderkey % 13)"
 _VIOLATION = """CASE label
-WHEN 'bar' THEN CASE WHEN bars_total < 3 THEN printf('only %d bars', bars_total) WHEN bar_series <> 1 THEN printf('%d bar series', bar_series) WHEN segments_per_bar <> 1 THEN printf('%d segments per bar', segments_per_bar) WHEN bars_on_baseline <> bars_total THEN printf('%d bars off the baseline', bars_total - bars_on_baseline) WHEN line_series > 0 AND NOT line_is_reference THEN 'a non-reference line series' WHEN connectors THEN 'connector lines' END
-WHEN 'bar_grouped' THEN CASE WHEN bar_series < 2 THEN printf('%d bar series', bar_series) WHEN segments_per_bar <> 1 THEN printf('%d segments per bar', segments_per_bar) WHEN bars_on_baseline <> bars_total THEN printf('%d bars off the baseline', bars_total - bars_on_baseline) WHEN line_series > 0 AND NOT line_is_reference THEN 'a non-reference line series' WHEN connectors THEN 'connector lines' END
-WHEN 'bar_stacked' THEN CASE WHEN bars_total < 2 THEN printf('only %d bars', bars_total) WHEN segments_per_bar < 2 THEN 'fewer than 2 segments per bar' WHEN bars_on_baseline <> bars_total THEN 'not every bar starts at the baseline' WHEN connectors THEN 'connector lines' END
-WHEN 'waterfall' THEN CASE WHEN bars_total < 4 THEN printf('only %d bars', bars_total) WHEN bars_floating < 2 THEN printf('%d floating bars', bars_floating) WHEN bars_on_baseline < 2 THEN 'start and end bar must sit on the baseline' WHEN segments_per_bar <> 1 THEN 'more than one segment per bar' END
-WHEN 'line' THEN CASE WHEN line_series < 1 THEN 'no line series' WHEN bar_series <> 0 THEN 'bars present' END
-WHEN 'combo_bar_line' THEN CASE WHEN bar_series < 1 THEN 'no bar series' WHEN line_series < 1 THEN 'no line series' WHEN line_is_reference THEN 'the line is a reference line' WHEN NOT (line_own_axis OR line_in_legend) THEN 'line has neither its own axis nor a legend entry' END
-WHEN 'pie_donut' THEN CASE WHEN pie_segments < 2 THEN printf('%d segments', pie_segments) END
-WHEN 'scatter' THEN CASE WHEN scatter_points < 5 THEN printf('only %d points', scatter_points) WHEN bar_series <> 0 OR pie_segments <> 0 THEN 'bars or pie segments' WHEN line_series > 0 AND NOT line_is_reference THEN 'a data line through the points' END
-WHEN 'flow' THEN CASE WHEN flow_nodes < 2 THEN printf('%d node(s)', flow_nodes) END
-WHEN 'map' THEN CASE WHEN geometry_area_frac < 0.45 THEN printf('map covers only %.0f%%', 100 * geometry_area_frac) END
-WHEN 'table' THEN CASE WHEN table_rows < 2 OR table_cols < 2 THEN printf('%dx%d is not a grid', table_rows, table_cols) WHEN table_has_graphics THEN 'embedded graphics' END END"""
+WHEN 'bar' THEN CASE WHEN bars_total < 3 THEN 'bars_total is not >= 3' WHEN bar_series <> 1 THEN 'bar_series is not = 1' WHEN segments_per_bar <> 1 THEN 'segments_per_bar is not = 1' WHEN bars_on_baseline <> bars_total THEN 'bars_off_baseline is not = 0' WHEN line_series > 0 AND NOT line_is_reference THEN 'data_lines is not = 0' WHEN connectors THEN 'connectors is not = 0' END
+WHEN 'bar_grouped' THEN CASE WHEN bar_series < 2 THEN 'bar_series is not >= 2' WHEN segments_per_bar <> 1 THEN 'segments_per_bar is not = 1' WHEN bars_on_baseline <> bars_total THEN 'bars_off_baseline is not = 0' WHEN line_series > 0 AND NOT line_is_reference THEN 'data_lines is not = 0' WHEN connectors THEN 'connectors is not = 0' END
+WHEN 'bar_stacked' THEN CASE WHEN bars_total < 2 THEN 'bars_total is not >= 2' WHEN segments_per_bar < 2 THEN 'segments_per_bar is not >= 2' WHEN bars_on_baseline <> bars_total THEN 'bars_off_baseline is not = 0' WHEN connectors THEN 'connectors is not = 0' END
+WHEN 'waterfall' THEN CASE WHEN bars_total < 4 THEN 'bars_total is not >= 4' WHEN bars_floating < 2 THEN 'bars_floating is not >= 2' WHEN bars_on_baseline < 2 THEN 'bars_on_baseline is not >= 2' WHEN segments_per_bar <> 1 THEN 'segments_per_bar is not = 1' END
+WHEN 'line' THEN CASE WHEN line_series < 1 THEN 'line_series is not >= 1' WHEN bar_series <> 0 THEN 'bar_series is not = 0' END
+WHEN 'combo_bar_line' THEN CASE WHEN bar_series < 1 THEN 'bar_series is not >= 1' WHEN line_series < 1 THEN 'line_series is not >= 1' WHEN line_is_reference THEN 'line_is_reference is not = 0' WHEN NOT (line_own_axis OR line_in_legend) THEN 'line_marks is not >= 1' END
+WHEN 'pie_donut' THEN CASE WHEN pie_segments < 2 THEN 'pie_segments is not >= 2' END
+WHEN 'scatter' THEN CASE WHEN scatter_points < 5 THEN 'scatter_points is not >= 5' WHEN bar_series <> 0 OR pie_segments <> 0 THEN 'bars_and_segments is not = 0' WHEN line_series > 0 AND NOT line_is_reference THEN 'data_lines is not = 0' END
+WHEN 'flow' THEN CASE WHEN flow_nodes < 2 THEN 'flow_nodes is not >= 2' END
+WHEN 'map' THEN CASE WHEN geometry_area_frac < 0.45 THEN 'geometry_area_frac is not >= 0.45' END
+WHEN 'table' THEN CASE WHEN table_rows < 2 OR table_cols < 2 THEN 'grid_side is not >= 2' WHEN table_has_graphics THEN 'table_has_graphics is not = 0' END END"""
 
 
 def _structs(spark, sf_dir):
@@ -203,11 +203,11 @@ def color_math(spark, sf_dir):
 _FALLBACK = ", ".join(f"({a}, {b})" for a, b in Q.FALLBACK_SIZES)
 
 
-@query("synth_size_filter_fallback", f"""WITH s AS (SELECT 60 + (p_partkey * 7919) % 1500 AS width, 40 + (p_partkey * 104729) % 900 AS height FROM part WHERE p_size = 1), g AS (SELECT * FROM s WHERE width >= 120 AND height >= 120 AND width * height >= 30000 AND greatest(width / height::DOUBLE, height / width::DOUBLE) <= 8)
+@query("synth_size_filter_fallback", f"""WITH s AS (SELECT 60 + (p_partkey * 7919) % 1500 AS width, 40 + (p_partkey * 104729) % 900 AS height FROM part), g AS (SELECT * FROM s WHERE width >= 120 AND height >= 120 AND width * height >= 30000 AND greatest(width / height::DOUBLE, height / width::DOUBLE) <= 8)
 SELECT CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height FROM g WHERE (SELECT count(*) FROM g) >= 30 UNION ALL SELECT * FROM (VALUES {_FALLBACK}) t(width, height) WHERE (SELECT count(*) FROM g) < 30""")
 def size_filter_fallback(spark, sf_dir):
     i = F.col("p_partkey")
-    return Q.size_cloud(table(spark, sf_dir, "part").filter("p_size = 1").select((60 + (i * 7919) % 1500).alias("width"), (40 + (i * 104729) % 900).alias("height")))
+    return Q.size_cloud(table(spark, sf_dir, "part").select((60 + (i * 7919) % 1500).alias("width"), (40 + (i * 104729) % 900).alias("height")))
 
 
 @query("photo_ingest_plan", "WITH " + INDEX + ", p AS (SELECT path, doc_id AS i, regexp_replace(split_part(path, '__', 1), '\\.[^.]+$', '') AS report FROM idx WHERE label = 'photo'), e AS (SELECT DISTINCT split_part(path, '__', 1) AS report FROM idx WHERE split = 'test') SELECT path, report, CAST(a AS INTEGER) AS aug_index, (7 + i * 131 + a * 7919) % 4294967296 AS seed, CASE WHEN a = 0 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS severity_scale FROM p, range(3) t(a) WHERE report NOT IN (SELECT report FROM e)")
@@ -218,6 +218,13 @@ def photo_ingest_plan(spark, sf_dir):
     return S.photo_plan(photos, exclude, 3, BASE).select("path", "report", "aug_index", "seed", "severity_scale")
 
 
+@query("photo_reports_left", "WITH " + INDEX + ", p AS (SELECT path, regexp_replace(split_part(path, '__', 1), '\\.[^.]+$', '') AS report FROM idx WHERE label = 'photo'), e AS (SELECT DISTINCT split_part(path, '__', 1) AS report FROM idx WHERE split = 'test'), l AS (SELECT report, report NOT IN (SELECT report FROM e) AS kept FROM p) SELECT count(*) AS n_files, count(DISTINCT report) AS n_reports, count(*) FILTER (kept) AS n_kept, count(DISTINCT report) FILTER (kept) AS n_reports_left, count(DISTINCT report) FILTER (kept) > 1 AS splittable FROM l")
+def photo_reports_left(spark, sf_dir):
+    i = index(spark, sf_dir)
+    photos = i.filter("label = 'photo'").select("path", text.report_stem(F.col("path")).alias("report"))
+    return S.reports_left(photos, i.filter("split = 'test'").select(text.report_stem(F.col("path")).alias("report")))
+
+
 _STATS = "o AS (SELECT o_orderkey, o_orderpriority AS style_preset, lower(c_mktsegment) || '_' || (o_custkey % 9) AS palette, o_orderstatus AS spines, o_orderkey % 9 <> 0 AS yaxis, (o_orderkey % 100) / 100.0::DOUBLE AS severity, o_orderkey % 3 = 0 AS hard_clip, 1 + o_orderkey % 2 AS jpeg_passes, o_orderkey % 10 = 1 AS greyscale, o_orderkey % 11 = 1 AS perspective, o_orderkey % 8 <> 0 AS degraded, (o_orderkey % 20) // 18 AS retry FROM orders JOIN customer ON c_custkey = o_custkey)"
 
 

@@ -21,7 +21,10 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     roots = [root, *[f"{root}/{x}" for x in tax.REVIEW_FOLDERS if sinks.exists(spark, f"{root}/{x}")]]
     try:
         return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select("path", "modificationTime", "length")
-    except AnalysisException:  # a missing folder is an empty one
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # A missing folder is an empty one.
         return spark.createDataFrame([], "path string, modificationTime timestamp, length long")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import taxonomy as tax
 from plumbline.operators import judge, manifest
+from plumbline.sources import sinks
 
 RUN = "file string, true string, pred string, confidence double, call_idx long, cost double, error string"
 INDEX = "path string, label string, split string, source string, doc string"
@@ -25,8 +26,12 @@ def read_runs(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, value): lines in file order, with an ordinal by file and row."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), "value")
+    """(ord, value): the lines of a file, or of all writes to a manifest's folder, with an ordinal that
+    follows the writes, then files by name, then the place in the file."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    append = F.regexp_extract("_metadata.file_path", rf"/{sinks.APPEND}(\d+)/", 1).try_cast("int")
+    place = F.struct(F.coalesce(append, F.lit(0)).alias("append"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(place.alias("ord"), "value")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -35,6 +40,16 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return manifest.last_wins(lines.filter("r IS NOT NULL AND r._bad IS NULL").select("ord", "r.*").drop("_bad"))
 
 
+def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records for statistics: a malformed line fails the read, blank lines are skipped."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(path)
+
+
+def union_manifests(real: DataFrame, made: DataFrame) -> DataFrame:
+    """Records of an extraction and of a generator together; what one side lacks is null there."""
+    return real.unionByName(made, allowMissingColumns=True)
+
+
 def read_index(spark: SparkSession, path: str, split: str, source: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(path, label_id) of a split, and the unknown labels that were skipped."""
     rows = spark.read.schema(INDEX).json(path).filter(F.col("split") == split)
@@ -75,8 +90,6 @@ def plan_gaps(plan: dict[str, int]) -> tuple[list[str], list[str]]:
 
 def resolve_run(spark: SparkSession, path: str) -> str:
     """The run file of a run folder, or the path itself when it is a file."""
-    from plumbline.sources import sinks
-
     for name in (f"{path.rstrip('/')}/run.jsonl", path):
         if sinks.exists(spark, name):
             return name

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from plumbline.functions import taxonomy as tax
 
 
+#: Folder names of a manifest's writes.
+APPEND = "append-"
+
+
 class SplitError(ValueError):
     """Synthetic data may go to the training split only."""
 
@@ -28,13 +32,24 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace(spark: SparkSession, new: str, path: str) -> None:
-    """Put the folder ``new`` in the place of ``path``."""
-    src, fs = _fs(spark, new)
-    dst, _ = _fs(spark, path)
+    """Put ``new`` in the place of ``path``: what was there is renamed first and removed last, so that
+    a crash at any point leaves a whole copy beside it (``.old``) or in its place."""
+    (src, fs), (dst, _) = _fs(spark, new), _fs(spark, path)
+    old = None
     if fs.exists(dst):
-        fs.delete(dst, True)
-    if not fs.rename(src, dst):
+        old, _ = _fs(spark, f"{path.rstrip('/')}.{uuid.uuid4().hex}.old")
+        if not fs.rename(dst, old):
+            raise OSError(f"cannot rename {path}")
+    try:
+        done = fs.rename(src, dst)
+    except Exception:
+        done = False
+    if not done:
+        if old is not None:
+            fs.rename(old, dst)
         raise OSError(f"cannot rename {new} to {path}")
+    if old is not None:
+        fs.delete(old, True)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -47,12 +62,22 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def write_manifest(rows: DataFrame, path: str, append: bool = False) -> str | None:
-    """JSON lines; an old manifest is moved to a stamped backup before it is replaced."""
-    backup = None
-    if not append and exists(rows.sparkSession, path):
+    """JSON lines; an old manifest is moved to a stamped backup before it is replaced.
+
+    Every write is a folder of its own by number, so that later records are read as later ones."""
+    spark, backup = rows.sparkSession, None
+    p, fs = _fs(spark, path)
+    if not append and fs.exists(p):
         backup = f"{path.rstrip('/')}.{time.strftime('%Y%m%d_%H%M%S')}.bak"
-        replace(rows.sparkSession, path, backup)
-    rows.write.mode("append").json(path)
+        number = 1
+        while exists(spark, backup):  # two writes in a second
+            number += 1
+            backup = f"{path.rstrip('/')}.{time.strftime('%Y%m%d_%H%M%S')}_{number}.bak"
+        if not fs.rename(p, _fs(spark, backup)[0]):
+            raise OSError(f"cannot rename {path}")
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    last = max((int(n[len(APPEND) :]) for n in names if n.startswith(APPEND) and n[len(APPEND) :].isdigit()), default=0)
+    rows.write.json(f"{path.rstrip('/')}/{APPEND}{last + 1:06d}")
     return backup
 
 
@@ -79,8 +104,8 @@ def write_samples(rows: DataFrame, path: str, split: str = "train", append: bool
 
 
 def write_index(rows: DataFrame, path: str) -> None:
-    """The split index, partitioned so that a split or source prunes folders."""
-    rows.write.mode("overwrite").partitionBy("split", "source").parquet(path)
+    """The split index as JSON lines, partitioned so that a split or source prunes folders."""
+    rows.select("path", "label", "doc", "split", "source").write.mode("overwrite").partitionBy("split", "source").json(path)
 
 
 def write_assignments(rows: DataFrame, path: str) -> None:
@@ -93,8 +118,46 @@ def append_runs(rows: DataFrame, path: str) -> None:
 
 
 def dump_failures(rows: DataFrame, path: str) -> None:
-    """A line a failed call, by its stem."""
-    rows.select(F.concat_ws("\t", "stem", F.col("call_idx").cast("string"), F.coalesce("error", F.lit(""))).alias("value")).write.mode("append").text(path)
+    """A dump a failed call, in a folder by its stem: the call, its error and the raw reply (``content``,
+    where that is a column)."""
+    raw = F.col("content") if "content" in rows.columns else F.lit(None).cast("string")
+    body = F.concat_ws("\n", F.concat(F.lit("file:     "), "file"), F.concat(F.lit("call_idx: "), F.col("call_idx").cast("string")), F.concat(F.lit("error:    "), F.coalesce("error", F.lit(""))), F.lit("-" * 60), F.coalesce(raw, F.lit("(no reply)")))
+    rows.select("stem", body.alias("value")).write.mode("append").partitionBy("stem").text(path)
+
+
+def write_plots(runs: DataFrame, path: str, only: list[str] | None = None) -> list[str]:
+    """The figures of a judged run as SVG files; returns their names."""
+    from plumbline.operators import plots
+
+    drawn = plots.draw_all(runs, only)
+    for name, svg in drawn.items():
+        write_text(runs.sparkSession, f"{path}/{name}.svg", svg)
+    return list(drawn)
+
+
+def write_history(spark: SparkSession, history: list[dict], path: str) -> None:
+    """history.csv and loss_curve.svg of a training."""
+    from plumbline.operators import plots
+
+    cols = ["epoch", "train_loss", "val_loss", "val_acc", "val_macro_f1"]
+    write_text(spark, f"{path}/history.csv", "\n".join([",".join(cols), *(",".join(str(h[c]) for c in cols) for h in history)]) + "\n")
+    write_text(spark, f"{path}/loss_curve.svg", plots.loss_curve(history))
+
+
+def write_benchmark_plot(counts: DataFrame, path: str, split: str, labels=tax.LABELS) -> None:
+    """The confusion figure of a benchmark's (target, pred, n)."""
+    from plumbline.operators import bench, plots
+
+    write_text(counts.sparkSession, path, plots.benchmark_confusion([r.asDict() for r in bench.normalized(counts).collect()], split, list(labels)))
+
+
+def write_stats(made: DataFrame, path: str, real: DataFrame | None = None, name: str = "manifest") -> str:
+    """stats.md of a synthetic manifest."""
+    from plumbline.operators import qa
+
+    text = qa.stats_report(made, real, name)
+    write_text(made.sparkSession, path, text)
+    return text
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

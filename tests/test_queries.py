@@ -54,6 +54,16 @@ def test_query_runs_and_repeats(spark, name):
     assert a.schema == b.schema and canon(a.collect()) == canon(b.collect())
 
 
+@pytest.mark.parametrize("module", ["synth", "judge", "kernels"])
+def test_plan_modules_import_alone(module):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", f"import plumbline.plans.{module}"], cwd=root, check=True)
+
+
 def test_entry_contract():
     import __spark_entry__ as entry
 
