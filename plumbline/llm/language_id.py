@@ -4,7 +4,7 @@ A text's UTF-8 bytes are cut into windows of fixed length.  In each window, filt
 widths slide over byte embeddings; the rectified maximum of every filter feeds a softmax over the
 learned languages.  A text's probabilities are the mean of its windows', weighted by their bytes:
 every byte of every text is read.  Training (Adam, on the driver) takes a bounded sample of labelled
-windows, at most ``SAMPLE_WINDOWS``, drawn by hash from all distinct windows of all labelled texts.
+windows, at most ``SAMPLE_WINDOWS``, drawn by hash from all windows of all labelled texts.
 
 For scoring, embedding and filters are multiplied out: a filter's response is a sum of table rows
 indexed by byte pairs, so a batch is a few numpy gathers of a bounded size.
@@ -155,14 +155,27 @@ def cut_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return x, owner, np.minimum(sizes[owner] - place * WINDOW, WINDOW).astype(np.float64)
 
 
-def labelled_windows(docs: DataFrame) -> DataFrame:
-    """(lang, piece): every window of every labelled text that is not held out, cut as for scoring."""
+def labelled_windows(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """(lang, piece): windows of the labelled texts that are not held out, cut as for scoring; all of
+    them, or with ``most`` about twice as many, by the hash of text and place (more where that gives
+    fewer distinct ones)."""
     mod, out = HELD_OUT
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (crc % mod != out))
-    count = F.ceil(F.octet_length("text") / WINDOW).cast("int")
-    piece = lambda i: F.substring(F.col("text").cast("binary"), i * WINDOW + 1, F.lit(WINDOW))
-    return known.select("lang", F.explode(F.transform(F.sequence(F.lit(0), count - 1), piece)).alias("piece"))
+    known = known.select("lang", "text", F.ceil(F.octet_length("text") / WINDOW).cast("int").alias("n"), F.xxhash64("lang", "text").alias("h"))
+    total = known.agg(F.sum("n")).first()[0] or 0 if most else 0
+    share = 2 * most / total if most and total else 1.0
+
+    def chosen(share: float) -> DataFrame:
+        # Places are chosen before any window is cut: a long text is not copied window by window.
+        places = F.sequence(F.lit(0), F.col("n") - 1)
+        if share < 1:
+            places = F.filter(places, lambda i: F.pmod(F.xxhash64(F.col("h"), i), F.lit(1 << 40)) < int(share * (1 << 40)))
+        return known.select("lang", "text", "h", F.explode(places).alias("i"))
+
+    while share < 1 and chosen(share).select("h", "i").distinct().count() < most:
+        share *= 8
+    return chosen(share).select("lang", F.substring(F.col("text").cast("binary"), F.col("i") * WINDOW + 1, F.lit(WINDOW)).alias("piece"))
 
 
 def fit(docs: DataFrame, most: int = SAMPLE_WINDOWS) -> ByteCnn | None:
@@ -171,7 +184,7 @@ def fit(docs: DataFrame, most: int = SAMPLE_WINDOWS) -> ByteCnn | None:
     Inputs are windows of the text alone; ``lang`` is the label only.  A window without a letter
     teaches nothing."""
     common.prepare(docs.sparkSession)
-    sample = common.hash_sample(labelled_windows(docs), most)
+    sample = common.hash_sample(labelled_windows(docs, most), most)
     rows = sorted((r[0], bytes(r[1])) for r in sample.collect())
     rows = [(lang, t) for lang, t in rows if _LETTER(t.decode("utf-8", "ignore"))]
     if not rows:
