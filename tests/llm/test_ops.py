@@ -343,6 +343,11 @@ def test_windows_of_a_text_are_all_training_rows(spark):
     rows = language_id.labelled_windows(spark.createDataFrame([(i, text, "fr"), (i, "", "fr"), (i, None, "fr"), (i, "x", None)], "doc_id long, text string, lang string")).collect()
     data = text.encode()
     assert sorted(bytes(r["piece"]) for r in rows) == sorted(data[k : k + 128] for k in range(0, len(data), 128))
+    many = spark.createDataFrame([(i, "".join(f"{k} {j} " for j in range(900)), "en") for k in range(40)] + [(i, "copy " * 2000, "en")] * 200, "doc_id long, text string, lang string")
+    some = language_id.labelled_windows(many, 300)
+    assert 300 <= some.distinct().count() and some.count() < 0.5 * language_id.labelled_windows(many).count()
+    copies = many.filter("text LIKE 'copy%'")
+    assert common.hash_sample(language_id.labelled_windows(copies, 20), 20).count() > 0
 
 
 def test_cluster_must_name_a_shared_folder():
