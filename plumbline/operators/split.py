@@ -71,11 +71,19 @@ def docs_listed(index: DataFrame) -> DataFrame:
 
 
 def gap_warnings(rows: DataFrame) -> DataFrame:
-    """(label, warning): classes without real images, or absent from val or test."""
+    """(label, warning): classes without real or synthetic images, or absent from val or test; with
+    documents of a split index (doc, source, split), also the documents that leak, as a row without a
+    label."""
     c = counts_pivot(rows).filter("label <> 'TOTAL'")
     none = F.col("train") + F.col("val") + F.col("test") == 0
-    found = F.array_compact(F.when(none, F.array(F.lit("no real images"))).otherwise(F.array(F.when(F.col("val") == 0, F.lit("absent from val")), F.when(F.col("test") == 0, F.lit("absent from test")))))
-    return c.select("label", F.explode(found).alias("warning"))
+    absent = [F.when(~none & (F.col(s) == 0), F.lit(f"absent from {s}")) for s in ("val", "test")]
+    found = F.array_compact(F.array(F.when(none, F.lit("no real images")), *absent, F.when(F.col("synth") == 0, F.lit("no synthetic images"))))
+    out = c.select("label", F.explode(found).alias("warning"))
+    if not {"doc", "source", "split"} <= set(rows.columns):
+        return out
+    real = rows.filter("source = 'real' AND doc IS NOT NULL")
+    leaks = leakage(real.filter("split <> 'test'"), real.filter("split = 'test'")).agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    return out.unionByName(leaks.select(F.lit(None).cast("string").alias("label"), F.concat(F.col("n").cast("string"), F.lit(" documents in train or val and in test")).alias("warning")))
 
 
 def class_weights(rows: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def leakage(spark, sf_dir):
 _GAP = "label NOT IN ('flow', 'map') OR split <> 'val'"
 
 
-@query("split_gap_warnings", (W + _WIDE).replace("LEFT JOIN written USING (label)", f"LEFT JOIN (SELECT * FROM written WHERE ({_GAP}) AND label <> 'waterfall') written USING (label)") + "SELECT label, unnest(CASE WHEN train + val + test = 0 THEN ['no real images'] ELSE list_filter([CASE WHEN val = 0 THEN 'absent from val' END, CASE WHEN test = 0 THEN 'absent from test' END], lambda x: x IS NOT NULL) END) AS warning FROM wide")
+@query("split_gap_warnings", (W + _WIDE).replace("LEFT JOIN written USING (label)", f"LEFT JOIN (SELECT * FROM written WHERE ({_GAP}) AND label <> 'waterfall') written USING (label)") + "SELECT label, unnest(list_filter([CASE WHEN train + val + test = 0 THEN 'no real images' END, CASE WHEN train + val + test > 0 AND val = 0 THEN 'absent from val' END, CASE WHEN train + val + test > 0 AND test = 0 THEN 'absent from test' END, CASE WHEN synth = 0 THEN 'no synthetic images' END], lambda x: x IS NOT NULL)) AS warning FROM wide")
 def gap_warnings(spark, sf_dir):
     return S.gap_warnings(S.index_rows(index(spark, sf_dir), CAP).filter(f"({_GAP}) AND label <> 'waterfall'"))
 

@@ -127,7 +127,9 @@ def test_splits(spark):
     total = sum(max(c[x], 1) for x in tax.LABELS)
     assert all(abs(w[x] - total / (13 * max(c[x], 1))) < 1e-5 for x in tax.LABELS)
     gaps = {(r["label"], r["warning"]) for r in split.gap_warnings(index).collect()}
-    assert ("photo", "no real images") in gaps and ("bar", "absent from val") in gaps
+    assert ("photo", "no real images") in gaps and ("bar", "absent from val") in gaps and ("bar", "no synthetic images") in gaps and not any(lab is None for lab, _ in gaps)
+    leaky = index.unionByName(index.filter("doc IN ('d1', 'd2')").withColumn("split", F.lit("test")))
+    assert (None, "2 documents in train or val and in test") in {(r["label"], r["warning"]) for r in split.gap_warnings(leaky).collect()}
 
 
 def test_checkpoint_fold(spark):
@@ -316,6 +318,24 @@ def test_first_valid_attempt_is_drawn(spark):
     assert got == want and max(got.values()) > 0
 
 
+def test_sub_types_and_styles_are_drawn_apart():
+    for label, subs in synth.SUBTYPES.items():
+        if label == "other":
+            continue
+        for seed in range(6):
+            rng = np.random.default_rng(seed)
+            style = figures.style_sheet(rng) | {"title": True, "data_labels": True, "yaxis": True, "spines": "all"}
+            specs = {x: figures.build_spec(label, x, np.random.default_rng(seed + 40)) for x in subs}
+            made = {x: figures.raster(label, x, specs[x], style, 170, 130) for x in subs}
+            assert all(m.shape == (130, 170, 3) for m in made.values())
+            assert len({m.tobytes() for m in made.values()}) == len(subs), label
+    spec = figures.build_spec("bar", "plain", np.random.default_rng(0))
+    style = figures.style_sheet(np.random.default_rng(0)) | {"style_preset": "clean", "title": False, "data_labels": False, "yaxis": False, "spines": "none"}
+    draw = lambda **p: figures.raster("bar", "plain", spec, style | p, 170, 130).tobytes()
+    variants = [draw(), draw(title=True), draw(data_labels=True), draw(yaxis=True), draw(spines="bottom"), draw(spines="left_bottom"), draw(spines="all"), draw(style_preset="grid"), draw(style_preset="boxed")]
+    assert len(set(variants)) == len(variants)
+
+
 def test_every_recorded_loss_changes_pixels():
     rng = np.random.default_rng(5)
     img = np.clip(pixels.blur(rng.uniform(0, 255, (90, 130, 3)).astype(np.float32), 1.5), 0, 255)
@@ -331,8 +351,11 @@ def test_every_recorded_loss_changes_pixels():
     for side, shape in (("left", (90, 119, 3)), ("right", (90, 119, 3)), ("top", (82, 130, 3)), ("bottom", (82, 130, 3))):
         assert run(hard_clip_side=side).shape == shape
     assert run(crop_inset=[0.1, 0, 0, 0]).shape == (81, 130, 3) and run(scale=0.5).shape == (45, 65, 3)
-    turned = pixels.warp(img, pixels.rotation(0.0, 90, 130), 255)
-    assert np.allclose(turned, img, atol=1e-3) and np.allclose(pixels.warp(img, pixels.homography([(0, 0), (129, 0), (129, 89), (0, 89)], 90, 130), 0), img, atol=0.05)
+    whole = np.rint(img)
+    assert np.allclose(pixels.warp(whole, pixels.rotation(0.0, 90, 130), 255), whole, atol=1e-3)
+    assert np.allclose(pixels.warp(whole, pixels.homography([(0, 0), (129, 0), (129, 89), (0, 89)], 90, 130), 0), whole, atol=0.05)
+    quarter = pixels.warp(whole[:90, :90], pixels.rotation(90.0, 90, 90), 0)
+    assert np.allclose(quarter, np.rot90(whole[:90, :90], 1), atol=0.05) or np.allclose(quarter, np.rot90(whole[:90, :90], 3), atol=0.05)
     assert np.allclose(pixels.resize(np.full((7, 9, 3), 40.0), 20, 4), 40) and abs(pixels.resize(img, 45, 65).mean() - img.mean()) < 1
 
 
