@@ -91,6 +91,20 @@ def test_entropy_classes_and_near_placeholders():
     assert not kinds(f"example:{mixed}") and not kinds(f"see xxxxxx{low}") and not kinds("z1" * 20)
 
 
+def test_secret_counts_equal_sql(spark):
+    """The base counts as SQL has them, over a whole table."""
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    word = "(?i:password|passwd|secret|token|api_?key)"
+    sql = f"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '{word}["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 12)) AS n_assign,
+      len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex
+      FROM (SELECT doc_id, coalesce(text, '') AS t FROM '{path}')"""
+    got = secrets.digest(spark.read.parquet(path)).select("doc_id", "n_assign", "n_access", "n_hex").collect()
+    same([tuple(r) for r in got], duckdb.sql(sql).fetchall())
+    assert sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in got) > 10
+
+
 # ------------------------------------------------------------------ op 2
 
 
@@ -747,6 +761,17 @@ def test_media_round_trip(odd, none, sample):
     assert all(r["width"] == 512 and r["thumb_width"] == 64 for r in cols)
 
 
+def test_media_payload_equals_sql(spark):
+    """Bytes, padding and payload hash as SQL has them, over a whole table."""
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    sql = f"""SELECT doc_id, n AS n_bytes, greatest(1, (n + 191) // 192) * 192 AS payload_bytes, sha256(t || repeat(' ', CAST(greatest(1, (n + 191) // 192) * 192 - n AS BIGINT))) AS payload_sha256
+      FROM (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS n FROM '{path}')"""
+    got = media.digest(spark.read.parquet(path)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256").collect()
+    same([tuple(r) for r in got], duckdb.sql(sql).fetchall())
+
+
 def test_media_of_many_images_and_bytes():
     rng = random.Random(0)
     for data in (bytes(range(256)) * 9, b"\xff" * 960, rng.randbytes(64 * 8189 + 640)):
