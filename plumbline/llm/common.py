@@ -95,17 +95,17 @@ def drop(spark: SparkSession, path: str) -> None:
     _delete(spark, path)
 
 
-def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder (in folders by column ``by``) and read it back: the lineage
-    ends there, so a lost executor costs a re-read and not the work above."""
-    return written(df, tag, by)[0]
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends there, so a lost executor
+    costs a re-read and not the work above."""
+    return written(df, tag)[0]
 
 
-def written(df: DataFrame, tag: str, by: str | None = None) -> tuple[DataFrame, str]:
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """``materialize``, and the path for ``drop``."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

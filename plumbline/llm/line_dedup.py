@@ -37,6 +37,8 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 3
 FANOUT = 2
+#: Lines of a bucket of the runs, where buckets are not bounded by the shuffle partitions.
+BUCKET_LINES = 250_000
 #: Common keys that are broadcast (some 30 MB in a worker); more go through joins.
 FEW_KEYS = 200_000
 _KEY = ["h1", "h2"]
@@ -72,12 +74,16 @@ class LineRuns:
     """Levelled sorted runs of (h1, h2, n_docs, last_doc), a key in one run at most, and additions to
     them.  An empty store has no keys; null documents count as one, and come before all others.
 
-    ``buckets`` are the session's shuffle partitions unless given.  Runs are tables of the session's
-    catalog, by random names, over files in the shared folder."""
+    ``buckets`` are as many as ``lines`` expected ask for, the session's shuffle partitions at most.
+    Runs are tables of the session's catalog, by random names, over files in the shared folder."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, lines: int | None = None) -> None:
         self.spark, self.fanout, self.levels, self.additions = spark, fanout, [], []
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = most if lines is None else max(1, min(most, -(-lines // BUCKET_LINES)))
+        # An empty run, which the first batch meets: so it too is dealt to the buckets.
+        empty = spark.createDataFrame([], "h1 long, h2 long, n_docs long, last_doc long, fresh boolean")
+        self.empty = self._write(empty)
 
     def _write(self, rows: DataFrame) -> str:
         """Write (keys, n_docs, last_doc, fresh): fresh rows make a run, the others additions."""
@@ -96,14 +102,15 @@ class LineRuns:
         """Take a batch (h1, h2, doc) in; returns its fresh rows, read from their run."""
         batch = lines.groupBy(*_KEY).agg(F.count_distinct(F.coalesce(F.col("doc").cast("string"), F.lit(""))).alias("n_docs"), F.max("doc").alias("last_doc"))
         known = []
-        for k, run in enumerate(self.runs()):
+        for k, run in enumerate(self.runs() or [self._rows(self.empty, True)]):
             known.append(f"__known{k}")
             batch = batch.join(run.select(*_KEY, F.lit(True).alias(known[-1])).hint("merge"), _KEY, "left")
         fresh = F.lit(True)
         for k in known:
             fresh = fresh & F.col(k).isNull()
+        first = not self.levels
         path = self._write(batch.select(*_KEY, "n_docs", "last_doc", fresh.alias("fresh")))
-        self.additions += [path] if known else []
+        self.additions += [] if first else [path]
         self._push(path, 0)
         return self._rows(path, True)
 
@@ -147,9 +154,10 @@ class LineRuns:
 
 
 def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
-    """The written (h1, h2, doc, part) of ``docs``; ``part`` is the batch of a document."""
+    """The written (h1, h2, doc, part) of ``docs``; ``part`` is the batch of a document, and a file's
+    rows are in its order, so that a batch reads its own pages only."""
     part = F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")
-    return common.materialize(line_hashes(docs, min_chars).withColumn("part", part), "lines", by="part")
+    return common.materialize(line_hashes(docs, min_chars).withColumn("part", part).sortWithinPartitions("part"), "lines")
 
 
 def common_lines(lines: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -157,7 +165,7 @@ def common_lines(lines: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATC
 
     Documents are told apart by doc_id (rows that share one are one document; null ids together are
     one, the smallest)."""
-    store = LineRuns(lines.sparkSession, fanout)
+    store = LineRuns(lines.sparkSession, fanout, lines.count())
     for k in range(batches):
         store.add(lines.filter(F.col("part") == k))
     return common.materialize(store.totals().filter(F.col("n_docs") >= min_docs).select(*_KEY, "last_doc"), "common")
