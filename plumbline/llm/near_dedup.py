@@ -34,6 +34,10 @@ SHINGLE = 3
 BUDGET = 3
 HOT = 200_000
 DIVISIONS = 3
+#: Ids of copies that are broadcast (some 50 MB in an executor); more are joined by a shuffle.
+FEW_IDS = 500_000
+#: Edges of a file between two component rounds.
+ROUND_EDGES = 500_000
 _FLUSH = 1 << 18
 _LANES = np.uint64(0x0101010101010101)
 _BITS = 64
@@ -287,13 +291,15 @@ def components(edges: DataFrame) -> DataFrame:
     common.shared_dir(edges.sparkSession)
     edges = edges.checkpoint()
     size = edges.count()
+    # Rounds have no more edges than twice the first: their files are as many as these ask for.
+    parts = -(-2 * size // ROUND_EDGES)
     while size:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e"))
-        new = pairs.select("e.*").filter("u <> v").distinct().checkpoint()
+        new = pairs.select("e.*").filter("u <> v").distinct().coalesce(parts).checkpoint()
         now = new.count()
         if now == size and new.join(edges, ["u", "v"], "left_anti").isEmpty():
             break
@@ -317,13 +323,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, few: int = FEW_IDS) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the smallest doc_id; all columns.
 
     Rows that share a doc_id are one document and stay together; null ids stay only as a group
-    of their own."""
+    of their own.  Up to ``few`` ids of copies are broadcast, and no text is moved."""
     found = near_duplicates(docs, shingle, budget)
     out = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__pl_id")).distinct()
+    out = common.materialize(out, "copies")
+    out = F.broadcast(out) if out.count() <= few else out.hint("merge")
     return docs.join(out, docs["doc_id"].eqNullSafe(out["__pl_id"]), "left_anti")
 
 
