@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -162,20 +161,25 @@ def labelled_windows(docs: DataFrame, most: int | None = None) -> DataFrame:
     mod, out = HELD_OUT
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (crc % mod != out))
-    known = known.select("lang", "text", F.ceil(F.octet_length("text") / WINDOW).cast("int").alias("n"), F.xxhash64("lang", "text").alias("h"))
-    total = known.agg(F.sum("n")).first()[0] or 0 if most else 0
+    count = F.ceil(F.octet_length("text") / WINDOW).cast("int")
+    total = known.agg(F.sum(count)).first()[0] or 0 if most else 0
     share = 2 * most / total if most and total else 1.0
 
     def chosen(share: float) -> DataFrame:
         # Places are chosen before any window is cut: a long text is not copied window by window.
-        places = F.sequence(F.lit(0), F.col("n") - 1)
+        places = F.sequence(F.lit(0), count - 1)
         if share < 1:
             places = F.filter(places, lambda i: F.pmod(F.xxhash64(F.col("h"), i), F.lit(1 << 40)) < int(share * (1 << 40)))
-        return known.select("lang", "text", "h", F.explode(places).alias("i"))
-
-    while share < 1 and chosen(share).select("h", "i").distinct().count() < most:
+        rows = known.withColumn("h", F.xxhash64("lang", "text") if share < 1 else F.lit(0)).select("lang", "text", F.explode(places).alias("i"))
+        return rows.select("lang", F.substring(F.col("text").cast("binary"), F.col("i") * WINDOW + 1, F.lit(WINDOW)).alias("piece"))
+
+    while share < 1:
+        found = chosen(share).persist()  # few rows, which a lost executor makes again
+        if found.distinct().count() >= most:
+            return found
+        found.unpersist()
         share *= 8
-    return chosen(share).select("lang", F.substring(F.col("text").cast("binary"), F.col("i") * WINDOW + 1, F.lit(WINDOW)).alias("piece"))
+    return chosen(1.0)
 
 
 def fit(docs: DataFrame, most: int = SAMPLE_WINDOWS) -> ByteCnn | None:
@@ -184,8 +188,10 @@ def fit(docs: DataFrame, most: int = SAMPLE_WINDOWS) -> ByteCnn | None:
     Inputs are windows of the text alone; ``lang`` is the label only.  A window without a letter
     teaches nothing."""
     common.prepare(docs.sparkSession)
-    sample = common.hash_sample(labelled_windows(docs, most), most)
+    windows = labelled_windows(docs, most)
+    sample = common.hash_sample(windows, most)
     rows = sorted((r[0], bytes(r[1])) for r in sample.collect())
+    windows.unpersist()
     rows = [(lang, t) for lang, t in rows if _LETTER(t.decode("utf-8", "ignore"))]
     if not rows:
         return None
@@ -241,9 +247,9 @@ def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     net = fit(docs)
     scorer = docs.sparkSession.sparkContext.broadcast(None if net is None else Scorer(net))
 
-    @F.pandas_udf(T.BooleanType())
-    def known(text: pd.Series) -> pd.Series:
-        pred, score = _judged([None if t is None else t.encode() for t in text], scorer.value)
-        return pd.Series([p != UNDETERMINED and s >= least for p, s in zip(pred, score, strict=True)], dtype=bool)
+    @F.arrow_udf(T.BooleanType())
+    def known(text: pa.Array) -> pa.Array:
+        pred, score = _judged(common.as_bytes(text), scorer.value)
+        return pa.array([p != UNDETERMINED and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_())
 
     return docs.filter(known("text"))
