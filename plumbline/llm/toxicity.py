@@ -338,8 +338,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Linear, LabelModel | None,
     common.prepare(docs.sparkSession)
     seen = docs.select("doc_id", "text").filter(_crc() % mod != out)
     marks = labels.select(F.col("doc_id").alias("__pl_id"), "toxic").filter(F.col("toxic").isNotNull() & (_crc("__pl_id") % mod != out))
+    # At most LABELLED_DOCS rows, so they go to the texts and not the texts to them.
     marks = common.hash_sample(marks.groupBy("__pl_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic")), LABELLED_DOCS)
-    labelled = common.materialize(seen.join(marks, F.col("doc_id") == F.col("__pl_id")).select("text", "toxic"), "labelled")
+    labelled = common.materialize(seen.join(F.broadcast(marks), F.col("doc_id") == F.col("__pl_id")).select("text", "toxic"), "labelled")
     distinct = common.materialize(without_copies(labelled), "mined")
     mined = mine(distinct)
     lexicon = lexicon_of(mined, distinct.count())
