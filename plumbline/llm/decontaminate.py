@@ -20,7 +20,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,10 +202,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     common.prepare(docs.sparkSession)
     indexes = _indexes(benchmark, window, block_words)
 
-    @F.pandas_udf(T.BooleanType())
-    def clean(text: pd.Series) -> pd.Series:
-        texts = [None if t is None else t.encode() for t in text]
-        return pd.Series([len(h) == 0 for _, _, _, hits, _ in _scan_blocks(texts, indexes) for h in hits], dtype=bool)
+    @F.arrow_udf(T.BooleanType())
+    def clean(text: pa.Array) -> pa.Array:
+        return pa.array([len(h) == 0 for _, _, _, hits, _ in _scan_blocks(common.as_bytes(text), indexes) for h in hits], pa.bool_())
 
     return docs.filter(clean("text"))
 
