@@ -532,8 +532,9 @@ def test_near_dedup_against_brute_force(odd, sample):
     same([tuple(r) for r in near_dedup.digest(df).collect()], brute_near(plain(df)))
 
 
-def test_near_dedup_stage(odd, none):
-    left = near_dedup.keep_one(odd)
+@pytest.mark.parametrize("few", [near_dedup.FEW_IDS, 0])
+def test_near_dedup_stage(odd, none, few):
+    left = near_dedup.keep_one(odd, few=few)
     assert left.columns == odd.columns
     comp = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(odd).collect()}
     assert {r["doc_id"] for r in left.collect()} == {i for i, c in comp.items() if i == c}
@@ -646,7 +647,8 @@ def test_line_dedup_stage_keeps_rows_and_columns(odd):
 
 def test_line_runs_levels(spark):
     """The anti-join decides what is added: a key is in one run, whatever is compacted."""
-    store = line_dedup.LineRuns(spark, fanout=3, buckets=2)
+    store = line_dedup.LineRuns(spark, fanout=3, lines=2 * line_dedup.BUCKET_LINES)
+    assert store.buckets == 2
     batches = [range(0, 10), range(1, 11), range(11, 14), range(3, 13), range(0, 15)]
     for k, batch in enumerate(batches):
         fresh = store.add(spark.createDataFrame([(i, 0, 10 * k + j) for i in batch for j in range(2)], "h1 long, h2 long, doc long"))
