@@ -33,6 +33,8 @@ from . import common
 HELD_OUT = (5, 0)
 LABELLED_DOCS = 12_000
 SAMPLE_DOCS = 12_000
+#: Sampled texts of a file.
+FILE_DOCS = 1_000
 LEXICON = 48
 MIN_DOCS = 4
 MIN_SHARE = 0.02
@@ -340,8 +342,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Linear, LabelModel | None,
     marks = labels.select(F.col("doc_id").alias("__pl_id"), "toxic").filter(F.col("toxic").isNotNull() & (_crc("__pl_id") % mod != out))
     # At most LABELLED_DOCS rows, so they go to the texts and not the texts to them.
     marks = common.hash_sample(marks.groupBy("__pl_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic")), LABELLED_DOCS)
-    labelled = common.materialize(seen.join(F.broadcast(marks), F.col("doc_id") == F.col("__pl_id")).select("text", "toxic"), "labelled")
-    distinct = common.materialize(without_copies(labelled), "mined")
+    # A bounded number of texts: dealt to as many files as they ask for, not one a split of the corpus.
+    files = -(-LABELLED_DOCS // FILE_DOCS)
+    labelled = common.materialize(seen.join(F.broadcast(marks), F.col("doc_id") == F.col("__pl_id")).select("text", "toxic").repartition(files), "labelled")
+    distinct = common.materialize(without_copies(labelled).coalesce(files), "mined")
     mined = mine(distinct)
     lexicon = lexicon_of(mined, distinct.count())
     if not lexicon:
