@@ -61,11 +61,13 @@ def dense_index(files: DataFrame, key: str = "file") -> DataFrame:
 def draw_index(rep: Column, draw: Column, n: Column) -> Column:
     """A quadratic hash of (rep, draw) modulo a prime, the same in every SQL engine.
 
-    The squares matter: under an affine map the draws of a replicate would be evenly spaced."""
-    h = (rep * 1000003 + draw * 7919 + 12345) % 2147483647
+    The squares matter: under an affine map the draws of a replicate would be evenly spaced.  Each step
+    is a lambda, whose argument is computed once: as a plain expression it would be written out twice
+    a step."""
+    h = F.array((rep * 1000003 + draw * 7919 + 12345) % 2147483647)
     for _ in range(3):
-        h = (h * h + h * 48271 + 11) % 2147483647
-    return h % n
+        h = F.transform(h, lambda x: (x * x + x * 48271 + 11) % 2147483647)
+    return F.coalesce(F.element_at(h, 1) % n, F.lit(0).cast("long"))
 
 
 def bootstrap(runs: DataFrame, macro: bool = False, reps: int = BOOTSTRAP_REPS, alpha: float = ALPHA) -> DataFrame:
