@@ -32,19 +32,26 @@ def luminance(c: Column) -> Column:
     return (0.2126 * channel(c, 0) + 0.7152 * channel(c, 1) + 0.0722 * channel(c, 2)) / 255.0
 
 
+#: Text colours on dark and light grounds and the luminance between them; steps and
+#: shares of the loops that lighten a colour, or push it away from its ground.
+TEXT_ON_DARK, TEXT_ON_LIGHT, DARK_BELOW = "#f2f4f7", "#1b1f24", 0.45
+LIGHTEN_STEPS, LIGHTEN_BY = 12, 0.16
+CONTRAST_STEPS, CONTRAST_BY, CONTRAST_DELTA = 14, 0.14, 0.26
+
+
 def readable_on(background: Column) -> Column:
-    return F.when(luminance(background) < 0.45, "#f2f4f7").otherwise("#1b1f24")
+    return F.when(luminance(background) < DARK_BELOW, TEXT_ON_DARK).otherwise(TEXT_ON_LIGHT)
 
 
 def min_luminance(c: Column, floor: float) -> Column:
     """Lightened in up to twelve steps until bright enough."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), c, lambda x, _: F.when(luminance(x) >= floor, x).otherwise(lighten(x, 0.16)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LIGHTEN_STEPS)), c, lambda x, _: F.when(luminance(x) >= floor, x).otherwise(lighten(x, LIGHTEN_BY)))
 
 
-def contrast_on(c: Column, background: Column, delta: float = 0.26) -> Column:
+def contrast_on(c: Column, background: Column, delta: float = CONTRAST_DELTA) -> Column:
     """Pushed away from the background in up to fourteen steps."""
     bg = luminance(background)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), c, lambda x, _: F.when(F.abs(luminance(x) - bg) >= delta, x).when(bg > 0.5, darken(x, 0.14)).otherwise(lighten(x, 0.14)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(CONTRAST_STEPS)), c, lambda x, _: F.when(F.abs(luminance(x) - bg) >= delta, x).when(bg > 0.5, darken(x, CONTRAST_BY)).otherwise(lighten(x, CONTRAST_BY)))
 
 
 def ramp(base: Column, n: int) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text
 
+#: Thresholds of the junk filter, and the reasons it gives.
 MIN_SIDE, MIN_AREA, MAX_ASPECT, MIN_RANGE = 120, 30_000, 8.0, 12
+TOO_SMALL, SMALL_AREA, EXTREME_ASPECT, UNIFORM = "too_small_%dx%d", "area_too_small_%d", "extreme_aspect_%.1f", "near_uniform"
 THRESHOLD = 0.75
 
 #: Raw classifier labels and the classes they map to; labels that always go to review.
@@ -26,10 +28,10 @@ def junk_reason(w: Column, h: Column, lo: Column, hi: Column, min_side=MIN_SIDE,
     """The first reason to discard a crop, or null."""
     aspect = F.greatest(w / h, h / w)
     return (
-        F.when((w < min_side) | (h < min_side), F.format_string("too_small_%dx%d", w, h))
-        .when(w * h < min_area, F.format_string("area_too_small_%d", w * h))
-        .when(aspect > max_aspect, F.format_string("extreme_aspect_%.1f", aspect))
-        .when(hi - lo < MIN_RANGE, F.lit("near_uniform"))
+        F.when((w < min_side) | (h < min_side), F.format_string(TOO_SMALL, w, h))
+        .when(w * h < min_area, F.format_string(SMALL_AREA, w * h))
+        .when(aspect > max_aspect, F.format_string(EXTREME_ASPECT, aspect))
+        .when(hi - lo < MIN_RANGE, F.lit(UNIFORM))
     )
 
 
