@@ -707,6 +707,32 @@ def test_other_figures_are_drawn(spark):
     assert len(drawn) == planned > 0 and all(r["error"] is None and r["n_bytes"] > 0 for r in drawn)
 
 
+def test_pictures_are_degraded_in_strips(monkeypatch):
+    """Strips change no pixel, and what they need besides the picture is a few planes."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    p = figures.degrade_params(rng) | {"rotate": 0.7, "perspective": True, "scale": 1.0, "blur_sigma": 0.8, "jpeg_passes": 2, "noise_sigma": 3.0, "greyscale": False, "hard_clip_side": ""}
+    for shape in ((211, 133, 3), (64, 160, 3), (7, 5, 3)):
+        img = rng.integers(0, 256, shape, dtype=np.uint8)
+        got = []
+        for strip in (1, 1 << 11, 1 << 30):
+            monkeypatch.setattr(pixels, "STRIP", strip)
+            got.append(figures.degrade(img, p, np.random.default_rng(2)).astype(int))
+        assert all(np.abs(x - got[0]).max() <= 4 and (x != got[0]).mean() < 1e-3 for x in got[1:])
+        planes = np.moveaxis(pixels.warp(img, np.eye(3), 0), -1, 0)
+        assert np.array_equal(planes, np.moveaxis(img, -1, 0))
+    monkeypatch.undo()
+    img = rng.integers(0, 256, (900, 1200, 3), dtype=np.uint8)
+    tracemalloc.start()
+    try:
+        figures.degrade(img, p, np.random.default_rng(2))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 * 900 * 1200
+
+
 def test_class_count_plans(tmp_path):
     def plan(s):
         (tmp_path / "p.yaml").write_text(s)
