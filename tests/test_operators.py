@@ -1,8 +1,10 @@
 """Operators against independent Python on small rows, properties, error paths and round trips."""
 
+import hashlib
 import json
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -849,3 +851,49 @@ def test_small_services(spark, tmp_path):
     assert json.loads((tmp_path / "meta.json").read_text())["results"] == {"x": None}
     names = spark.createDataFrame([("runs/20240131_120000_x",), ("other",)], "f string").select(text.run_stamp(F.col("f")).cast("string"), text.share_label(F.lit(1), F.lit(3))).collect()
     assert names[0][:] == ("2024-01-31 12:00:00", "1 (33.3 %)") and names[1][0] is None
+
+
+def test_figures_cost_what_they_show(monkeypatch):
+    """Blocks of one colour are worn once a colour, with the same pixels as all blocks on their own; noise
+    costs no search for repeats in the file and makes it no larger."""
+    spec, style = figures.build_spec("bar", "plain", np.random.default_rng(3)), figures.style_sheet(np.random.default_rng(4))
+    paper = figures._rgb(style["background"])
+    img = figures.raster("bar", "plain", spec, style, 603, 411)
+    packed = pixels.packed(img)
+    assert np.array_equal(packed, figures.canvas("bar", "plain", spec, style, 603, 411))
+    plan, seen = pixels._plan, []
+    for back, size in ((np.eye(3), (411, 603)), (pixels.rotation(1.5, 411, 603), (411, 603)), (np.diag([1.4, 1.4, 1.0]), (290, 430)), (pixels.homography([(5, 3), (600, 1), (598, 409), (2, 405)], 411, 603), (411, 603))):
+        for sigma, qualities in ((0.0, [60]), (1.1, [80, 55])):
+            monkeypatch.setattr(pixels, "_plan", lambda *a: seen.append(plan(*a)) or seen[-1])
+            got = pixels.worn(packed, back, paper, size, sigma, qualities)
+            monkeypatch.setattr(pixels, "_plan", lambda *a: (np.arange(len(plan(*a)[1])),) * 2)
+            want = pixels.worn(img, back, paper, size, sigma, qualities)
+            assert got.shape == (*size, 3) and (got != want).mean() < 1e-4 and np.abs(got.astype(int) - want).max() <= 4
+    assert all(len(todo) < 0.85 * len(which) for todo, which in seen) and sum(len(todo) for todo, _ in seen) < 0.7 * sum(len(which) for _, which in seen)
+    flat = pixels.noisy(np.full((200, 300, 3), 128, np.uint8), 2.0, np.random.default_rng(1), False, np.arange(256, dtype=np.uint8)).astype(float)
+    assert abs(flat.mean() - 127.5) < 0.02 and abs(flat.std() - math.sqrt(4 + 1 / 12)) < 0.02 and abs(np.corrcoef(flat[:, :-1].ravel(), flat[:, 1:].ravel())[0, 1]) < 0.02
+    noisy = pixels.noisy(got, 2.0, np.random.default_rng(2), False, np.arange(256, dtype=np.uint8))
+    rows = np.diff(noisy.reshape(len(noisy), -1), axis=0, prepend=np.zeros((1, noisy[0].size), np.uint8))
+    least = len(zlib.compress(rows.tobytes(), 2))
+    monkeypatch.setattr(pixels.zlib, "compress", None)
+    data = pixels.png(noisy)
+    assert len(data) < least and np.array_equal(pixels.decode_png(data), noisy)
+    for counts in (np.zeros(256, int), 2 ** np.arange(256).clip(0, 40)):
+        for n in (0, 1, 2, 3, 5, 70_001):
+            raw = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8)
+            assert zlib.decompress(pixels._literals(raw, counts)) == raw.tobytes()
+
+
+def test_digests_are_those_of_the_files(spark):
+    """The files of a query that returns only their sums stay in the tasks; a failing figure has none."""
+    few = spark.createDataFrame([("bar", "plain", 5), ("map", "pins", 6)], "label string, sub_type string, seed long")
+    for size in ((150.0, 210.0), (math.inf, 210.0)):
+        files = {r["crop_id"]: r for r in figures.samples(few, (size,)).collect()}
+        got = figures.digests(few, (size,))
+        assert dict(got.dtypes)["n_bytes"] == "int" and "image" not in got.columns
+        rows = got.collect()
+        assert len(rows) == len(files) == 2 and {r["error"] is None for r in rows} == {size[0] == 150}
+        for r in rows:
+            file = files[r["crop_id"]]
+            assert all(r[c] == file[c] for c in ("label", "retry", "width", "height", "severity", "error"))
+            assert (r["n_bytes"], r["image_sha256"]) == ((None, None) if file["image"] is None else (len(file["image"]), hashlib.sha256(bytes(file["image"])).hexdigest()))
